@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import day, iso_instant, recorded_end
 from tallyloom.functions.text import clean_field
-from tallyloom.operators import as_known, history, orphans
+from tallyloom.operators import as_known, history, orphans, units
 from tallyloom.sources.tables import table
 
 # ---- p4: references to records that do not exist
@@ -115,3 +115,23 @@ select entity_id, attr, strftime(f, '%Y-%m-%d') as valid_from, coalesce(strftime
 
 QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_timeline": p7_timeline}
 SQL = {"p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+
+# ---- p5: quantities in different units
+
+#: The kind of quantity that each of the fields holds.
+FIELD_KINDS = {"注册资本": "money", "资产总额": "money", "年营业收入": "money", "年收入": "money", "用地面积": "area", "年产能": "mass", "年用电量": "energy", "经营期限": "months"}
+
+
+def p5_units(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of a quantity field with its quantity in common units, how it was found and its segment of the history."""
+    kinds = F.create_map(*[F.lit(x) for pair in FIELD_KINDS.items() for x in pair])
+    rows = table(spark, d, "entity_profile", "profile_id", "entity_id", "field", "value", "unit", "valid_from", "created_at").withColumn("field", clean_field(F.col("field"))).filter(F.col("field").isin(*FIELD_KINDS))
+    rows = rows.select(F.col("profile_id").alias("row_id"), "entity_id", "field", kinds[F.col("field")].alias("kind"), "value", "unit", F.coalesce(day(F.col("valid_from")), iso_instant(F.col("created_at")).cast("date")).alias("at"))
+    return units.to_common_units(rows).withColumnRenamed("row_id", "profile_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_units(spark, d).filter("origin = 'stated' and common is not null").select("profile_id", F.col("common").alias("common_value"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_units": p5_units}
