@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import day, iso_instant, recorded_end
 from tallyloom.functions.text import clean_field
-from tallyloom.operators import as_known, history, orphans, units
+from tallyloom.functions.instants import read_instants
+from tallyloom.operators import as_known, history, instants, orphans, units
+from tallyloom.session import cut
 from tallyloom.sources.tables import table
 
 # ---- p4: references to records that do not exist
@@ -135,3 +137,39 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_units": p5_units}
+
+# ---- p2: timestamps in mixed formats and zones
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """All time stamps; a source file and the facts drawn from it are a group, the file's arrival being first."""
+    out, none = None, F.lit(None).cast("bigint")
+    for name, key, text, rank, group in (("fact", "fact_id", "created_at", 1, "source_id"), ("source_file", "source_id", "ingested_at", 0, "source_id"), ("fill_decision", "fingerprint", "decided_at", 1, None)):
+        df = table(spark, d, name, *dict.fromkeys(c for c in (key, "batch_no", text, group) if c))
+        df = df.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"), (F.col(group) if group else none).alias("group"), F.regexp_extract("batch_no", r"-(\d{2})$", 1).alias("site"), F.lit(rank).alias("rank"), F.col(text).alias("text"))
+        out = df if out is None else out.unionAll(df)
+    return out
+
+
+def p2_sites(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "office_desk", "desk_no", "zone_name", "day_order").select(F.col("desk_no").alias("site"), F.col("zone_name").alias("zone"), "day_order")
+
+
+def p2_instants(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its instant and what told its zone; also those of desks that are not listed, with the estimated zone."""
+    return instants.normalised(p2_records(spark, d), p2_sites(spark, d), cut)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_instants(spark, d).filter("not done and utc_us is not null and basis in ('text', 'registered', 'corrected')").select("table_name", "row_key", "utc_us")
+
+
+def p2_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Each desk's zone, registered or estimated, and how many records it puts out of order."""
+    sites = p2_sites(spark, d).groupBy("site").agg(F.min("zone").alias("zone"), F.min("day_order").alias("day_order"))
+    read = cut(read_instants(p2_records(spark, d).join(sites.select("site", "day_order"), "site", "left"), "text", "day_order"))
+    names = [r[0] for r in sites.select("zone").distinct().limit(instants.MOST_ZONES).collect()]
+    return instants.choose_zones(instants.zone_histories(read, names), sites)
+
+
+QUERIES |= {"p2_found": p2_found, "p2_zones": p2_zones}
