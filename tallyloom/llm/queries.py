@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import tokens
+from tallyloom.llm import leakage, tokens
 from tallyloom.sources.tables import table
 
 
@@ -12,5 +12,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "text"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
