@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import leakage, mojibake, tokens
+from tallyloom.llm import leakage, mojibake, tokens, variants
 from tallyloom.sources.tables import table
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entity", "entity_id", "entity_type", "uscc", "id_card").select(
+        "entity_id", variants.identity_key(F.col("uscc"), F.col("id_card")).alias("key"), (F.col("entity_type") == "natural_person").alias("person")
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.variant_spellings(table(spark, d, "entity_name", "name_id", "entity_id", "name"), _entities(spark, d), table(spark, d, "entity_profile", "entity_id", "field", "value"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -22,5 +32,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("lost"), "").otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
