@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import leakage, mojibake, tokens, variants
+from tallyloom.llm import entities, leakage, mojibake, tokens, variants
 from tallyloom.sources.tables import table
 
 
@@ -15,6 +15,16 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every match of an entity row and a ledger record with its confidence."""
+    ledger = table(spark, d, "ledger_subject", "record_id", "ledger_name", "subject_name", "cert_text", "phone_text", "address_text", "rep_name")
+    return entities.matched(ledger, table(spark, d, "entity_name", "name_id", "entity_id", "name"), _entities(spark, d), table(spark, d, "entity_profile", "entity_id", "field", "value"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("entity_id", "record_id").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.variant_spellings(table(spark, d, "entity_name", "name_id", "entity_id", "name"), _entities(spark, d), table(spark, d, "entity_profile", "entity_id", "field", "value"))
 
@@ -32,5 +42,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("lost"), "").otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5"))
 
 
-QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
