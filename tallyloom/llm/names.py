@@ -170,17 +170,20 @@ def parsed(df: DataFrame, namer: Namer, columns: list[str]) -> DataFrame:
     return df.filter("name is not null").select(*columns, "name", "person_hint").mapInArrow(run, schema)
 
 
-def weighted(nodes: DataFrame, threshold: float) -> DataFrame:
+def gram_weights(nodes: DataFrame) -> DataFrame:
+    """(gram, df, idf) over all nodes."""
+    df = nodes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    return df.select("gram", "df", F.log1p(F.lit(max(nodes.count(), 1)) / F.col("df")).alias("idf"))
+
+
+def weighted(nodes: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
     """Adds `vector` (map of gram to weight, of length 1) and `prefix` (array of grams, the rarest first) to nodes with grams.
 
-    Weights are by inverse document frequency over all nodes. Two nodes whose cosine reaches the threshold share a gram of
-    both prefixes: the grams left out are too light together.
+    Two nodes whose cosine reaches the threshold share a gram of both prefixes: the grams left out are too light together.
+    Vectors are made once for each romanised form.
     """
-    df = nodes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    total = nodes.count()
-    table = df.select("gram", "df", F.log1p(F.lit(total) / F.col("df")).alias("idf"))
     forms = nodes.select("person", "roman", "grams").dropDuplicates(["person", "roman"])
-    each = forms.select("person", "roman", F.explode("grams").alias("gram")).join(table, "gram")
+    each = forms.select("person", "roman", F.explode("grams").alias("gram")).join(weights, "gram")
     gathered = each.groupBy("person", "roman").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "idf"))).alias("g"))
     norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda a, x: a + x["idf"] * x["idf"]))
     gathered = gathered.withColumn("norm", norm).withColumn("vector", F.map_from_arrays(F.col("g.gram"), F.transform("g", lambda x: x["idf"] / F.col("norm"))))
