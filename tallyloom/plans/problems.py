@@ -34,6 +34,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(p4_references(spark, d), p4_lifetimes(spark, d)).select(F.col("ref_table").alias("table_name"), "row_id")
 
 
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans per table, target, month of the referring row and kind (missing or deleted). Times of facts are normalised as in p2."""
+    refs = p4_references(spark, d).drop("at")
+    born = p2_instants(spark, d).filter("table_name = 'fact'").select(F.lit("fact").alias("ref_table"), F.col("row_key").try_cast("bigint").alias("row_id"), F.timestamp_micros("utc_us").alias("at"))
+    for name, key in (("entity_name", "name_id"), ("credit_case", "case_id")):
+        born = born.unionAll(table(spark, d, name, key, "created_at").select(F.lit(name), key, iso_instant(F.col("created_at"))))
+    done = table(spark, d, "fact", "fact_id", "created_at").select(F.lit("fact"), "fact_id", iso_instant(F.when(F.col("created_at").rlike("^[0-9]{4}-.*Z$"), F.col("created_at"))))
+    found = orphans.orphans(refs.withColumn("at", F.lit(None).cast("timestamp")), p4_lifetimes(spark, d)).drop("at")
+    at = born.unionAll(done).groupBy("ref_table", "row_id").agg(F.max("at").alias("at"))
+    return orphans.per_period(found.join(at, ["ref_table", "row_id"], "left"))
+
+
 P4_FOUND = """
 select distinct 'fact' as table_name, fact_id as row_id from fact where source_id is not null and not exists (select 1 from source_file s where s.source_id = fact.source_id)
 union all
@@ -115,7 +127,7 @@ w as (select *, lead(f) over (partition by entity_id, attr order by g) as x, cou
 select entity_id, attr, strftime(f, '%Y-%m-%d') as valid_from, coalesce(strftime(nullif(least(coalesce(x, date '9999-12-31'), t), date '9999-12-31'), '%Y-%m-%d'), '') as valid_to from w where n >= 2
 """
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_timeline": p7_timeline}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p7_found": p7_found, "p7_timeline": p7_timeline}
 SQL = {"p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
 
 # ---- p5: quantities in different units
