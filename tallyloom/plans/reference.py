@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import iso_instant
-from tallyloom.operators import audit, combine, decide, extract, facts, files, pivot, profile, quality, tables
+from tallyloom.operators import audit, combine, decide, extract, facts, files, pivot, profile, quality, store, tables
 from tallyloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -290,16 +290,16 @@ def uscc_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with n as (select distinct entity_id, identity_pending_reason from entity where (coalesce(trim(uscc), '') = '' or lower(trim(uscc)) in ('n/a', '无', '待补')) and (coalesce(trim(id_card), '') = '' or lower(trim(id_card)) in ('n/a', '无', '待补')) and (coalesce(trim(bank_no), '') = '' or lower(trim(bank_no)) in ('n/a', '无', '待补')))
-select entity_id, exists (select 1 from fact f where f.entity_id = n.entity_id and superseded_by is null and key in ('证件号码', '统一社会信用代码') and coalesce(trim(value), '') != '') as has_evidence, coalesce(identity_pending_reason, '') as pending from n""")
+select entity_id, exists (select 1 from fact f where f.entity_id = n.entity_id and superseded_by is null and key in ('借款人名称', '保证人名称') and coalesce(trim(value), '') != '') as has_evidence, coalesce(identity_pending_reason, '') as pending from n""")
 def identity_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return facts.identity_gaps(table(spark, d, "entity"), table(spark, d, "fact", "fact_id", "key", "entity_id", "value", "superseded_by"), ["证件号码", "统一社会信用代码"])
+    return facts.identity_gaps(table(spark, d, "entity"), table(spark, d, "fact", "fact_id", "key", "entity_id", "value", "superseded_by"), ["借款人名称", "保证人名称"])
 
 
-@query("""select what, id, "at", text from (select distinct 'fact' as what, cast(fact_id as varchar) as id, created_at as "at", value as text from fact where key = '授信额度' union all select distinct 'decision', fingerprint, decided_at, value from fill_decision where field = '授信额度')""")
+@query("""select what, id, "at", text from (select distinct 'fact' as what, cast(fact_id as varchar) as id, created_at as "at", value as text from fact where key = '借款用途' union all select distinct 'decision', fingerprint, decided_at, value from fill_decision where field = '借款用途')""")
 def facts_trace(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "fact", "fact_id", "key", "created_at", "value").distinct().select(F.col("fact_id").alias("id"), "key", F.col("created_at").alias("at"), F.col("value").alias("text"))
     g = table(spark, d, "fill_decision", "fingerprint", "field", "decided_at", "value").distinct().select(F.col("fingerprint").alias("id"), F.col("field").alias("key"), F.col("decided_at").alias("at"), F.col("value").alias("text"))
-    return facts.trace("授信额度", fact=f, decision=g)
+    return facts.trace("借款用途", fact=f, decision=g)
 
 
 @query()
@@ -460,3 +460,45 @@ def dq_checks(spark: SparkSession, d: str) -> DataFrame:
 @query("""select strftime(created_at::timestamptz at time zone 'UTC', '%Y-%m') as month, count(distinct entity_id) as entities from entity group by 1""")
 def entities_per_month(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entity", "entity_id", "created_at").groupBy(F.date_format(iso_instant(F.col("created_at")), "yyyy-MM").alias("month")).agg(F.countDistinct("entity_id").alias("entities"))
+
+
+# ---- writes of the store, as frames
+
+
+@query("""select distinct source_id from source_file a where source_id % 2 = 1 and source_id = (select min(source_id) from source_file m where m.source_id % 2 = 1 and m.path is not distinct from a.path and m.sha256 is not distinct from a.sha256) and not exists (select 1 from source_file b where b.source_id % 2 = 0 and b.path = a.path and b.sha256 = a.sha256)""")
+def sources_registered(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "source_file", "source_id", "path", "sha256").distinct()
+    return store.new_sources(s.filter("source_id % 2 = 1"), s.filter("source_id % 2 = 0")).select("source_id")
+
+
+@query("""select subject_name as name, min(n.entity_id) as entity_id, min(n.entity_id) is null as is_new from (select distinct subject_name from ledger_subject where subject_name is not null) l left join entity_name n on n.name = l.subject_name group by 1""")
+def entities_resolved(spark: SparkSession, d: str) -> DataFrame:
+    return store.resolved_entities(table(spark, d, "ledger_subject", "subject_name").withColumnRenamed("subject_name", "name"), table(spark, d, "entity_name", "name", "entity_id"))
+
+
+@query("""select template, field, rule_id from (select *, row_number() over (partition by template, field order by rule_id % 2 desc, rule_id desc) as r from (select distinct l_partkey as template, l_suppkey as field, l_orderkey * 10 + l_linenumber as rule_id from lineitem)) where r = 1 and rule_id % 2 = 1
+ union all select template, field, max(rule_id) from (select distinct l_partkey as template, l_suppkey as field, l_orderkey * 10 + l_linenumber as rule_id from lineitem) group by 1, 2 having max(rule_id % 2) = 0""")
+def rules_upserted(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").select(F.col("l_partkey").alias("template"), F.col("l_suppkey").alias("field"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rule_id")).distinct()
+    stored = facts.latest(r.filter("rule_id % 2 = 0"), ["template", "field"], "rule_id")
+    return store.upserted(stored, r.filter("rule_id % 2 = 1"), ["template", "field"], "rule_id")
+
+
+@query()
+def role_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Facts named by the role that their entity's other facts give it."""
+    f = table(spark, d, "fact", "fact_id", "key", "entity_id", "value", "superseded_by")
+    roles = f.filter("entity_id is not null and key in ('借款人名称', '保证人名称')").select("entity_id", facts.claimed_role(F.col("key")).alias("role"), F.lit("").alias("evidence")).distinct()
+    return store.role_aliases(f, roles)
+
+
+@query("""select run_id, field from (select distinct run_id, field from fill_decision where action = 'accept') where run_id in (select run_id from fill_decision where action = 'blank')""")
+def fields_delivered(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "fill_decision", "run_id", "field", "action")
+    ops = g.filter("action = 'accept'").select("run_id", F.lit("field").alias("kind"), F.col("field").alias("target")).unionAll(g.filter("action = 'blank'").select("run_id", F.lit("artifact"), "field"))
+    return store.delivered_fields(ops)
+
+
+@query()
+def values_digested(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fact", "fact_id", "value").dropDuplicates(["fact_id"]).select("fact_id", store.sm3("value").alias("digest"))

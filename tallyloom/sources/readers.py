@@ -65,6 +65,9 @@ def read_table(spark: SparkSession, path: str, sheet: str | int = 0, header: int
         head = b"" if encoding and delimiter else _head(spark, path)
         encoding = encoding or sniff_encoding(head)
         name = "UTF-8" if encoding.startswith("utf-8") else "GB18030" if encoding in ("gbk", "gb18030") else {"latin-1": "ISO-8859-1", "big5": "Big5"}.get(encoding, encoding)
+        if name not in ("UTF-8", "ISO-8859-1"):
+            # Spark reads these encodings only with this setting, which has to stand until the rows are read
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         delimiter = delimiter or sniff_delimiter(head.decode(encoding, "replace"))
         return spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').option("encoding", name).csv(path, sep=delimiter)
     if end in (".json", ".jsonl", ".ndjson"):
