@@ -117,15 +117,30 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
     return profile.correlations(table(spark, d, "lineitem", *_NUMBERS), list(_NUMBERS))
 
 
-@query()
+_NARROW = "translate({c}, '０１２３４５６７８９．－＋，％　（）：', '0123456789.-+,% ():')"
+_BARE = "regexp_replace(regexp_replace(regexp_replace(trim(" + _NARROW + "), '^\\((.*)\\)$', '\\1'), '%$', ''), '(?i)[¥$€£￥\\s\\x{{3000}}]|RMB|CNY|USD|EUR|GBP', '', 'g')"
+_PARSED = "regexp_full_match(regexp_replace(regexp_replace(" + _BARE + ", '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g'), '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g'), '[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?')"
+_TOKENS = ", ".join("'" + t + "'" for t in tables.NULL_TOKENS)
+
+
+def _issues(c: str) -> str:
+    n, m, u = f"count({c})", f"count(*) - count({c})", f"count(distinct {c})"
+    read, plain = f"count(*) filter ({_PARSED.format(c=c)})", f"count(*) filter (regexp_full_match({c}, '-?\\d+(\\.\\d+)?'))"
+    each = {
+        "high_missing": f"case when {m} > 0.5 * count(*) then {m} end", "notable_missing": f"case when {m} > 0.3 * count(*) and {m} <= 0.5 * count(*) then {m} end", "constant": f"case when {u} = 1 and count(*) > 1 then {n} end",
+        "all_unique": f"case when {u} = count(*) and count(*) > 1 then {n} end", "untrimmed": f"count(*) filter (regexp_matches({c}, '^[\\s\\x{{3000}}\\x{{a0}}\\x{{85}}]|[\\s\\x{{3000}}\\x{{a0}}\\x{{85}}]$'))", "full_width": f"count(*) filter (regexp_matches({c}, '[{tables.WIDE}]'))",
+        "null_token": f"count(*) filter (lower(trim({c}, ' ')) in ({_TOKENS}))", "number_as_text": f"case when {n} > 0 and {read} >= 0.8 * {n} and {plain} < {n} then {read} end",
+    }
+    return " union all ".join(f"select '{c}' as \"column\", '{k}' as issue, cast({x} as bigint) as \"rows\" from entity_profile" for k, x in each.items())
+
+
+@query("select * from (" + " union all ".join(_issues(c) for c in ("field", "value", "unit", "valid_from")) + ") where \"rows\" > 0")
 def profile_issues(spark: SparkSession, d: str) -> DataFrame:
     return profile.issues(table(spark, d, "entity_profile", "field", "value", "unit", "valid_from"), ["field", "value", "unit", "valid_from"])
 
 
 # ---- cleaning
 
-_NARROW = "translate({c}, '０１２３４５６７８９．－＋，％　（）：', '0123456789.-+,% ():')"
-_BARE = "regexp_replace(regexp_replace(regexp_replace(trim(" + _NARROW + "), '^\\((.*)\\)$', '\\1'), '%$', ''), '(?i)[¥$€£￥\\s\\x{{3000}}]|RMB|CNY|USD|EUR|GBP', '', 'g')"
 
 
 @query(f"""with t as (select distinct profile_id, value, regexp_replace(regexp_replace({_BARE.format(c="value")}, '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g'), '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g') as s, regexp_full_match(trim({_NARROW.format(c="value")}), '\\(.*\\)') as neg from entity_profile where value is not null)
@@ -379,7 +394,13 @@ def label_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("issue") == "too long").alias("too_long"))
 
 
-@query()
+@query("""with l as (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as a from documents where text is not null), e as (select doc_id, unnest(range(0, len(a))) as line, unnest(a) as t from l),
+m as (select *, regexp_extract(t, '^\\s*([^:：。；;，,\\n]{1,20}?)\\s*[:：]\\s*(.*?)\\s*$', 1) as a, regexp_extract(t, '^\\s*([^:：。；;，,\\n]{1,20}?)\\s*[:：]\\s*(.*?)\\s*$', 2) as v from e),
+b as (select doc_id, line, t, case when a != '' and v != '' then regexp_replace(a, '[\\s\\x{3000}\\x{85}\\x{a0}]+', '', 'g') end as label, case when a != '' and v != '' and length(v) <= 80 then v end as value from m),
+c as (select *, label is null and length(t) <= 30 and regexp_matches(t, '保证合同|流动资金贷款合同|借款合同|贷款合同|授信合同|授信协议') as title from b), d as (select *, sum(cast(title as int)) over (partition by doc_id order by line) as section from c),
+s as (select *, case when regexp_full_match(label, '(借款人|保证人|抵押人|出质人)([（(]?([0-9一二三四五六七八九十]+)[）)]?)?(名称)?') and value is not null then {'role': regexp_extract(label, '^(借款人|保证人|抵押人|出质人)', 1), 'owner': value} end as subject from d),
+o as (select *, last_value(subject ignore nulls) over (partition by doc_id, section order by line rows between unbounded preceding and current row) as held from s)
+select doc_id, cast(line as int) as line, label, value, held.role as role, held.owner as owner, cast(section as bigint) as section from o where label is not null""")
 def ownership_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     rows = extract.owned(extract.labelled(extract.lines(table(spark, d, "documents", "doc_id", "text"))))
     return rows.filter("label is not null").select("doc_id", "line", "label", "value", "role", "owner", "section")
@@ -452,7 +473,10 @@ def batch_allocate(spark: SparkSession, d: str) -> DataFrame:
     return quality.next_batch(used, used.filter(F.col("batch_no").rlike(quality.BATCH)).select(F.substring("batch_no", 1, 8).alias("day")))
 
 
-@query()
+@query("""select 'batch_no of fact' as name, count(*) filter (not regexp_full_match(batch_no, '\\d{8}-\\d{2}')) = 0 as ok, count(*) filter (not regexp_full_match(batch_no, '\\d{8}-\\d{2}')) as detail from fact union all select 'batch_no of source_file', count(*) filter (not regexp_full_match(batch_no, '\\d{8}-\\d{2}')) = 0, count(*) filter (not regexp_full_match(batch_no, '\\d{8}-\\d{2}')) from source_file
+ union all select 'batch_no of credit_case', count(*) filter (not regexp_full_match(batch_no, '\\d{8}-\\d{2}')) = 0, count(*) filter (not regexp_full_match(batch_no, '\\d{8}-\\d{2}')) from credit_case union all select 'batch_no of fill_decision', count(*) filter (not regexp_full_match(batch_no, '\\d{8}-\\d{2}')) = 0, count(*) filter (not regexp_full_match(batch_no, '\\d{8}-\\d{2}')) from fill_decision
+ union all select name, bad = 0, bad from (with f as (select distinct * from fact) select 'status' as name, count(*) filter (coalesce(status, '') not in ('ok', 'missing', 'suspect')) as bad from f union all select 'source_kind', count(*) filter (coalesce(source_kind, '') not in ('source', 'computed', 'user')) from f
+ union all select 'computed without formula', count(*) filter (source_kind = 'computed' and (formula is null or inputs is null)) from f union all select 'fact_id single', count(*) from (select fact_id from f group by 1 having count(*) > 1) union all select 'superseded_by leads to a fact', count(*) from f where superseded_by is not null and superseded_by not in (select fact_id from f))""")
 def dq_checks(spark: SparkSession, d: str) -> DataFrame:
     return quality.checks(table(spark, d, "fact"), {n: table(spark, d, n, "batch_no") for n in ("fact", "source_file", "credit_case", "fill_decision")})
 
@@ -484,7 +508,9 @@ def rules_upserted(spark: SparkSession, d: str) -> DataFrame:
     return store.upserted(stored, r.filter("rule_id % 2 = 1"), ["template", "field"], "rule_id")
 
 
-@query()
+@query("""with f as (select distinct fact_id, key, entity_id, value from fact where superseded_by is null), h as (select distinct entity_id, case when contains(key, '保证人') then '保证人' else '借款人' end as role from fact where entity_id is not null and key in ('借款人名称', '保证人名称')),
+r as (select role || key as alias, fact_id, entity_id, value from f join h using (entity_id) where not contains(key, '法定代表人') and not contains(key, '保证人') and not contains(key, '借款人') and coalesce(trim(value), '') != ''), g as (select alias, max(fact_id) as m, count(distinct (entity_id, value)) as n from r group by 1)
+select alias, case when n = 1 then m end as fact_id, case when n = 1 then (select min(value) from r where r.fact_id = m and r.alias = g.alias) end as value, n > 1 as ambiguous from g""")
 def role_aliases(spark: SparkSession, d: str) -> DataFrame:
     """Facts named by the role that their entity's other facts give it."""
     f = table(spark, d, "fact", "fact_id", "key", "entity_id", "value", "superseded_by")
