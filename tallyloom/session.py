@@ -34,3 +34,10 @@ def cut(df):
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"tallyloom-{os.getpid()}-"))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished steps have left behind: shuffle files, broadcasts and checkpoints are removed once the driver's
+    garbage is collected, which in a driver with a large heap may otherwise not happen for long. Called between the phases
+    of operators that take many steps."""
+    spark.sparkContext._jvm.System.gc()
