@@ -105,3 +105,28 @@ def questions(plan: DataFrame, same: list[str], place: str) -> DataFrame:
     """Plan rows that ask the same, as one question with its places: (question, same..., places, asked)."""
     mark = F.sha2(F.concat_ws("‖", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in same]), 256)
     return plan.groupBy(mark.alias("question"), *same).agg(F.countDistinct(place).alias("places"), F.count(F.lit(1)).alias("asked"))
+
+
+def proposed(scores: DataFrame, targets: DataFrame) -> DataFrame:
+    """(label, key, score, targets) of labels whose best key is sure (AUTOMATIC) and has no tie, with all places of the label. targets: (label, target)."""
+    best = best_candidates(scores, 1).filter((F.col("score") >= AUTOMATIC) & ~F.col("tied")).select("label", "key", "score")
+    return best.join(targets.groupBy("label").agg(F.sort_array(F.collect_set("target")).alias("targets")), "label")
+
+
+def template_scope(plan: DataFrame) -> DataFrame:
+    """(template, role): the role a template is about, from its file's name, else the only one that its keys claim; null if they claim several. plan: (template, template_name, key)."""
+    from tallyloom.operators.facts import claimed_role
+
+    named, claimed = claimed_role(F.col("template_name")), claimed_role(F.col("key"))
+    got = plan.groupBy("template").agg(F.max(named).alias("named"), F.min(claimed).alias("lo"), F.max(claimed).alias("hi"))
+    return got.select("template", F.coalesce("named", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("role"))
+
+
+def uncovered(labels: DataFrame, rules: DataFrame) -> DataFrame:
+    """Labels of templates that no rule covers: (template, field, target) without a rule for them."""
+    return labels.join(rules.select("template", "field", "target").distinct(), ["template", "field", "target"], "left_anti")
+
+
+def coverage(slots: DataFrame) -> DataFrame:
+    """(template, detected, mapped, unmapped, protected, left_blank) of slots (template, mapped, protected, left_blank as booleans)."""
+    return slots.groupBy("template").agg(F.count(F.lit(1)).alias("detected"), F.count_if("mapped").alias("mapped"), F.count_if(~F.col("mapped") & ~F.col("protected")).alias("unmapped"), F.count_if("protected").alias("protected"), F.count_if("left_blank").alias("left_blank"))

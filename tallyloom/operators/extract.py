@@ -68,3 +68,26 @@ def ocr_columns(boxes: DataFrame, gap: float = 0.8) -> DataFrame:
     rows = boxes.join(widths, "page").withColumn("edge", F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     new = F.coalesce(F.col("left") - F.col("edge") > gap * F.col("median_width"), F.lit(False))
     return rows.withColumn("column", F.sum(new.cast("int")).over(order)).drop("edge", "median_width")
+
+
+def blank_slot(text: Column) -> Column:
+    """Whether a text is a place to fill: nothing, or only underscores, dots, boxes and blanks."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?U)^[\s_＿.…·□☐/／\-—]*$")
+
+
+def certificate_type(label: Column) -> Column:
+    """The kind of certificate that a label asks for; null for other labels."""
+    out = None
+    for name, words in {"身份证": "身份证", "统一社会信用代码": "统一社会信用代码|信用代码", "护照": "护照", "营业执照": "营业执照", "其他": "证件号|证件号码"}.items():
+        out = F.when(label.rlike(words), name) if out is None else out.when(label.rlike(words), name)
+    return out
+
+
+def page_numbers(spec: str, pages: int) -> list[int]:
+    """The pages, from 1, of `1,3-5,8-`; those beyond the last are left out, each counts once."""
+    out: dict[int, None] = {}
+    for part in filter(None, (p.strip() for p in spec.replace("，", ",").split(","))):
+        first, dash, last = part.partition("-")
+        a, b = int(first or 1), (int(last or pages) if dash else int(first))
+        out |= dict.fromkeys(n for n in range(a, b + 1) if 1 <= n <= pages)
+    return list(out)

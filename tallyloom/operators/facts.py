@@ -244,3 +244,22 @@ def trace(key: str, **tables: DataFrame) -> DataFrame:
         part = df.filter(F.col("key") == key).select(F.lit(what).alias("what"), F.col("id").cast("string").alias("id"), F.col("at").alias("at"), F.col("text").alias("text"))
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def format_hint(kind: str, value: Column) -> Column:
+    """What looks unusual about an identity key, null if nothing does. A hint never refuses a value."""
+    v = F.trim(value)
+    hint = {
+        "uscc": F.when(F.upper(v).rlike("^[0-9A-Z]{18}$"), F.when(~F.coalesce(uscc_ok(v), F.lit(False)), "check digit")).otherwise("not 18 letters and digits"),
+        "bank_no": F.when(~v.rlike(r"^\d{19}$"), "not 19 digits"), "id_card": F.when(~v.rlike(r"^\d{17}[\dXx]$"), "not 17 digits and a check digit"),
+    }[kind]
+    return F.when(blank(value), "empty").otherwise(hint)
+
+
+def with_role(roles: DataFrame, entities: DataFrame, role: str) -> DataFrame:
+    """Entities that hold a role, each once."""
+    return roles.filter(F.col("role") == role).select("entity_id").distinct().join(entities.dropDuplicates(["entity_id"]), "entity_id")
+
+
+def unassigned(facts: DataFrame) -> DataFrame:
+    return live(facts).filter("entity_id is null")

@@ -199,12 +199,10 @@ def merge_align(spark: SparkSession, d: str) -> DataFrame:
     return combine.stacked([c, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))])
 
 
-@query("""select f.fact_id, f.entity_id as entity_id, case_id, case_id_2 from (select distinct fact_id, entity_id, case_id from fact where key in (select min(key) from fact)) f left join (select distinct entity_id, case_id as case_id_2 from credit_case) c on f.entity_id is not distinct from c.entity_id""")
+@query("""select c.case_id, c.entity_id, c.created_at, e.created_at as created_at_2 from (select distinct case_id, entity_id, created_at from credit_case) c left join (select distinct entity_id, created_at from entity) e on c.entity_id is not distinct from e.entity_id""")
 def merge_join_nullsafe(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "fact", "fact_id", "entity_id", "case_id", "key")
-    least = f.agg(F.min("key").alias("key"))
-    f = f.join(F.broadcast(least), "key", "left_semi").drop("key").distinct()
-    return combine.joined([f, table(spark, d, "credit_case", "entity_id", "case_id").distinct()], ["entity_id"], "left").select("fact_id", "entity_id", "case_id", "case_id_2")
+    cases, entities = (table(spark, d, n, *cols).distinct() for n, cols in (("credit_case", ("case_id", "entity_id", "created_at")), ("entity", ("entity_id", "created_at"))))
+    return combine.joined([cases, entities], ["entity_id"], "left").select("case_id", "entity_id", "created_at", "created_at_2")
 
 
 def _perturbed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

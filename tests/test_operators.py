@@ -261,3 +261,21 @@ def test_office_sources(spark, tmp_path):
 
     spark.dataSource.register(Document)
     assert [(r.pos, r.kind, r.level, r.text) for r in spark.read.format("tallyloom_document").load(str(tmp_path / "d.docx")).orderBy("pos").collect()] == [(0, "heading", 1, "题"), (1, "paragraph", 0, "文"), (2, "row", 0, "电话：138")]
+
+
+def test_small_ones(spark):
+    scores = spark.createDataFrame([("l", "a", 0.9), ("m", "a", 0.9), ("m", "b", 0.9), ("n", "a", 0.82)], "label string, key string, score double")
+    places = spark.createDataFrame([("l", "x"), ("l", "y"), ("m", "z")], "label string, target string")
+    assert [(r.label, r.key, r.targets) for r in decide.proposed(scores, places).collect()] == [("l", "a", ["x", "y"])]
+    plan = spark.createDataFrame([("t", "保证人表", "借款人名称"), ("u", "表", "借款人名称"), ("u", "表", "电话"), ("v", "表", "借款人名称"), ("v", "表", "保证人名称")], "template string, template_name string, key string")
+    assert dict(decide.template_scope(plan).collect()) == {"t": "保证人", "u": "借款人", "v": None}
+    lab = spark.createDataFrame([("t", "f", "x"), ("t", "g", "y")], "template string, field string, target string")
+    assert rows(decide.uncovered(lab, lab.filter("field = 'f'")).select("field")) == [("g",)]
+    assert rows(decide.coverage(spark.createDataFrame([("t", True, False, False), ("t", False, True, False), ("t", False, False, True)], "template string, mapped boolean, protected boolean, left_blank boolean"))) == [("t", 3, 1, 1, 1, 1)]
+    v = spark.createDataFrame([("",), ("1234567890123456789",), ("x",), (None,)], "v string")
+    assert [r[0] for r in v.select(facts.format_hint("bank_no", F.col("v"))).collect()] == ["empty", None, "not 19 digits", "empty"]
+    assert [r[0] for r in spark.createDataFrame([("__ ",), (None,), ("a_",), ("　□",)], "t string").select(extract.blank_slot(F.col("t"))).collect()] == [True, True, False, True]
+    assert [r[0] for r in spark.createDataFrame([("身份证号",), ("护照号",), ("电话",)], "t string").select(extract.certificate_type(F.col("t"))).collect()] == ["身份证", "护照", None]
+    assert extract.page_numbers("1,3-4, 9-,2，3", 10) == [1, 3, 4, 9, 10, 2]
+    roles = spark.createDataFrame([(1, "保证人"), (1, "保证人"), (2, "借款人")], "entity_id bigint, role string")
+    assert rows(facts.with_role(roles, spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "entity_id bigint, note string"), "保证人")) == [(1, "x")]
