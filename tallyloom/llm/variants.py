@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +17,8 @@ from tallyloom.session import cut, release
 
 #: Cosine of two spellings at least; average cosine of two clusters at least.
 THRESHOLD, LINKAGE = 0.5, 0.45
-#: More distinct forms than this in one group of linked entities are clustered by equal forms only, which needs no matrix.
-MOST_FORMS = 400
+#: A matrix of similarities larger than this is kept in a file instead of memory.
+MATRIX_BYTES = 128_000_000
 
 
 def identity_key(uscc: Column, id_card: Column) -> Column:
@@ -130,49 +133,125 @@ def lone_links(nodes: DataFrame) -> DataFrame:
 
 def average_linkage(similar: list[list[float]], least: float) -> list[int]:
     """Cluster of each item: the two clusters with the greatest average similarity are joined as long as it is at least `least`."""
-    n = len(similar)
-    members = {i: [i] for i in range(n)}
-    total = {(i, j): similar[i][j] for i in range(n) for j in range(i + 1, n)}
-    while total:
-        (i, j), s = max(total.items(), key=lambda x: (x[1] / (len(members[x[0][0]]) * len(members[x[0][1]])), -x[0][0], -x[0][1]))
-        if s / (len(members[i]) * len(members[j])) < least:
+    upper = np.triu(np.array(similar, float).reshape(len(similar), -1), 1)
+    return _joined(upper + upper.T, least).tolist()
+
+
+def _joined(total: np.ndarray, least: float) -> np.ndarray:
+    """As average_linkage, of a full matrix, which is used up. Each cluster keeps its nearest; as joining never brings clusters
+    nearer, one whose nearest was joined keeps its old average as a bound and is looked up again only when that is the greatest."""
+    n = len(total)
+    size, cluster = np.ones(n), np.arange(n)
+    best, near, stale = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
+
+    def look(i: int) -> np.ndarray:
+        mean = total[i] / (size[i] * size)
+        near[i], stale[i] = mean.argmax(), False
+        best[i] = mean[near[i]]
+        return mean
+
+    np.fill_diagonal(total, -np.inf)
+    for i in range(n):
+        look(i)
+    while n:
+        i = int(best.argmax())
+        if best[i] < least:
             break
-        members[i] += members.pop(j)
-        for k in list(members):
-            if k != i:
-                low, high = min(i, k), max(i, k)
-                total[low, high] += total.pop((min(j, k), max(j, k)))
-        del total[i, j]
-    out = [0] * n
-    for c, own in members.items():
-        for x in own:
-            out[x] = c
-    return out
-
-
-def _clustered(rows: list[tuple], linkage: float) -> Iterator[tuple[int, int]]:
+        if stale[i]:
+            look(i)
+            continue
+        i, j = sorted((i, int(near[i])))
+        total[i] += total[j]
+        total[:, i] = total[i]
+        total[:, j] = best[j] = -np.inf
+        size[i] += size[j]
+        cluster[cluster == j] = i
+        stale |= (near == i) | (near == j)
+        mean = look(i)
+        nearer = (mean > best) | ((mean == best) & (i < near))
+        best[nearer], near[nearer], stale[nearer] = mean[nearer], i, False
+    return cluster
+
+
+class Forms:
+    """The distinct forms (person, city, branch, body, roman) of the names of one component, with their vectors, as arrays by gram."""
+
+    def __init__(self, keys: list[tuple], vectors: list[list[tuple[str, float]]]) -> None:
+        self.n = len(keys)
+        code = lambda values: np.unique(np.array(values), return_inverse=True)[1]
+        self.person = np.array([bool(k[0]) for k in keys])
+        self.city, self.any_city = code([k[1] for k in keys]), np.array([k[1] == "" for k in keys])
+        self.branch, self.any_branch = code([k[2] for k in keys]), np.array([k[2] == "branch" for k in keys])
+        self.grams, self.by_gram = self._postings(vectors)
+        # what same_trade compares: the characters after the first three, the second one of a kind being another
+        rests = [k[3][3:] for k in keys]
+        trades = sorted(set(rests))
+        at = {t: i for i, t in enumerate(trades)}
+        self.trade, self.length = np.array([at[r] for r in rests]), np.array([len(t) for t in trades])
+        self.chars, self.by_char = self._postings([[((c, t[:i].count(c)), 1.0) for i, c in enumerate(t)] for t in trades])
+
+    @staticmethod
+    def _postings(rows: list[list[tuple]]) -> tuple[list[list[tuple]], dict]:
+        found: dict = {}
+        for i, row in enumerate(rows):
+            for key, x in row:
+                own = found.setdefault(key, ([], []))
+                own[0].append(i)
+                own[1].append(x)
+        return rows, {key: (np.array(a), np.array(x)) for key, (a, x) in found.items()}
+
+    def like(self, i: int) -> np.ndarray:
+        """The cosine of form i with every form; 0 where person, city, branch or trade differ."""
+        out = np.zeros(self.n)
+        for g, x in self.grams[i]:
+            at, y = self.by_gram[g]
+            out[at] += x * y
+        hit = np.zeros(len(self.length))
+        for c, _ in self.chars[self.trade[i]]:
+            hit[self.by_char[c][0]] += 1
+        # an empty rest has no characters to miss
+        trade = hit >= 0.6 * np.minimum(self.length, self.length[self.trade[i]])
+        city = self.any_city | self.any_city[i] | (self.city == self.city[i])
+        branch = self.any_branch | self.any_branch[i] | (self.branch == self.branch[i])
+        return np.where((self.person == self.person[i]) & city & branch & trade[self.trade], out, 0.0)
+
+    def clusters(self, least: float) -> np.ndarray:
+        """The average-linkage cluster of each form. Clusters are joined only if some pair of theirs reaches `least`, so the parts that such
+        pairs hold together are clustered one by one; a part's matrix beyond MATRIX_BYTES is kept in a file."""
+        cluster, seen = np.arange(self.n), np.zeros(self.n, bool)
+        for first in range(self.n):
+            if seen[first]:
+                continue
+            seen[first], part = True, [first]
+            for i in part:
+                more = np.flatnonzero((self.like(i) >= least - 1e-9) & ~seen)
+                seen[more] = True
+                part.extend(more.tolist())
+            if len(part) > 1:
+                part = np.sort(part)
+                shape = (len(part), len(part))
+                with tempfile.TemporaryFile() as file:
+                    total = np.zeros(shape) if 8 * len(part) ** 2 <= MATRIX_BYTES else np.memmap(file, np.float64, "w+", shape=shape)
+                    for row, i in enumerate(part):
+                        total[row, row + 1 :] = total[row + 1 :, row] = self.like(i)[part[row + 1 :]]
+                    cluster[part] = part[_joined(total, least)]
+                    del total
+        return cluster
+
+
+def _clustered(rows: Iterable[tuple], linkage: float) -> Iterator[tuple[int, int]]:
     """Pairs of names of different entities in one cluster. A row: (entity, name, person, city, branch, body, roman, vector)."""
     forms: dict[tuple, int] = {}
+    vectors, named = [], []
     for r in rows:
-        forms.setdefault(r[2:7], len(forms))
-    vectors = {forms[r[2:7]]: dict(r[7]) for r in rows}
-    keys = list(forms)
-    if len(keys) > MOST_FORMS:
-        same = {k: i for i, k in enumerate(sorted({(k[0], k[4]) for k in keys}))}
-        cluster = [same[k[0], k[4]] for k in keys]
-    else:
-
-        def like(i: int, j: int) -> float:
-            p, q = keys[i], keys[j]
-            if p[0] != q[0] or (p[1] and q[1] and p[1] != q[1]) or (p[2] != q[2] and "branch" not in (p[2], q[2])) or not N.same_trade(p[3], q[3]):
-                return 0.0
-            v, w = vectors[i], vectors[j]
-            return sum(x * w.get(g, 0.0) for g, x in v.items())
-
-        cluster = average_linkage([[like(i, j) if i < j else 0.0 for j in range(len(keys))] for i in range(len(keys))], linkage)
+        if r[2:7] not in forms:
+            forms[r[2:7]] = len(forms)
+            vectors.append([(x["key"], x["value"]) for x in r[7]])
+        named.append((forms[r[2:7]], r[1], r[0]))
+    cluster = Forms(list(forms), vectors).clusters(linkage) if len(forms) > 1 else [0]
     by: dict[int, list[tuple[int, int]]] = {}
-    for r in rows:
-        by.setdefault(cluster[forms[r[2:7]]], []).append((r[1], r[0]))
+    for form, name, entity in named:
+        by.setdefault(int(cluster[form]), []).append((name, entity))
     for own in by.values():
         own.sort()
         for i, (name, entity) in enumerate(own):
@@ -187,21 +266,17 @@ def spelled_alike(nodes: DataFrame, groups: DataFrame, weights: DataFrame, linka
     heavy = N.weighted(inside, weights, 0.0).select("component", "entity_id", "name_id", "person", "city", "branch", "body", "roman", F.map_entries("vector").alias("vector"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
-
         def emit(pairs):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["name_id_a", "name_id_b"])
 
-        for batch in batches:
-            for component, entity, name, person, city, branch, body, roman, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if component != now:
-                    out.extend(_clustered(rows, linkage))
-                    now, rows = component, []
-                rows.append((entity, name, person, city, branch, body, roman, [(x["key"], x["value"]) for x in vector]))
-                if len(out) > 20_000:
+        out = []
+        stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, rows in groupby(stream, lambda r: r[0]):
+            for pair in _clustered((r[1:] for r in rows), linkage):
+                out.append(pair)
+                if len(out) >= 20_000:
                     yield emit(out)
                     out = []
-        out.extend(_clustered(rows, linkage))
         if out:
             yield emit(out)
 

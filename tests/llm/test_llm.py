@@ -205,6 +205,41 @@ def test_variant_spellings(spark):
     assert rows(variants.variant_spellings(n.limit(0), e.limit(0), p.limit(0))) == []
 
 
+@pytest.mark.parametrize("matrix", [0, variants.MATRIX_BYTES])
+def test_large_components_are_clustered(spark, namer, monkeypatch, matrix):
+    monkeypatch.setattr(variants, "MATRIX_BYTES", matrix)
+    weights = {}
+    form = lambda name: (False, *(p := namer.parse(name, False))[1:4], p[4])
+    rnd = random.Random(4)
+    bodies = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(3)) for _ in range(150)]
+    bodies += [b[:2] + "厦" for b in bodies]
+    texts = [c + b + t + "有限公司" for b in bodies for c, t in (("澜城", "仓储物流"), ("溪原", rnd.choice(["仓储", "贸易"])))] + ["澜城芳妍牧仓储物流有限公司溪原分公司"]
+    forms = sorted({form(t) for t in texts})
+    assert len(forms) > 500
+    for f in forms:
+        for g in names.grams(False, f[4]):
+            weights[g] = weights.get(g, 0) + 1
+    vectors = []
+    for f in forms:
+        v = {g: 1 / weights[g] ** 0.3 for g in names.grams(False, f[4])}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        vectors.append({g: x / norm for g, x in v.items()})
+
+    def like(i, j):
+        p, q = forms[i], forms[j]
+        if (p[1] and q[1] and p[1] != q[1]) or (p[2] != q[2] and "branch" not in (p[2], q[2])) or not names.same_trade(p[3], q[3]):
+            return 0.0
+        return sum(x * vectors[j].get(g, 0.0) for g, x in vectors[i].items())
+
+    n = len(forms)
+    expected: dict = {}
+    for i, c in enumerate(variants.average_linkage([[like(i, j) if i < j else 0.0 for j in range(n)] for i in range(n)], 0.45)):
+        expected.setdefault(c, []).append(i)
+    pairs = sorted((a, b) for own in expected.values() for a in own for b in own if a < b)
+    got = variants._clustered([(i, i, *f, [{"key": g, "value": x} for g, x in v.items()]) for i, (f, v) in enumerate(zip(forms, vectors, strict=True))], 0.45)
+    assert sorted(got) == pairs and len(pairs) > 100
+
+
 def test_certificates():
     key = "N29901234567890123"
     assert all(entities.cert_fit(c, key) >= 4 for c in ("N299**********0123", "N2990123456789012X" [:-1] + "3", "尾号890123", "…34567890…", "n2990123 4567890123", "N29901234"))
