@@ -17,8 +17,6 @@ SAMPLE_DOCS, LONGEST_SAMPLE = 4_000, 20_000
 DICTIONARY_BYTES, STEP_BYTES = 65_536, 2
 #: Decodings in a row that are undone at most.
 DEPTH = 3
-#: A chain goes on from so many of its level's texts, the shortest ones, and from none longer by this factor than the shortest so far.
-BEAM, SLACK = 4, 1.15
 LOST = "\ufffd"
 #: What the UTF-8 bytes of two lost characters look like when they are read as GBK.
 LOST_TWICE = "锟斤拷"
@@ -32,8 +30,6 @@ CYRILLIC = ("cp1251", "koi8-r", "cp866")
 #: Multi-byte encodings that UTF-8 was read with.
 MULTI = ("gb18030", "big5", "cp932", "cp949")
 
-UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3})+")
-
 
 def _upper_half(codec: str) -> dict[str, int]:
     """The characters that a single-byte encoding has for the bytes from 0x80; those it leaves open stand for themselves, as many decoders have it."""
@@ -48,7 +44,20 @@ def _upper_half(codec: str) -> dict[str, int]:
 
 
 HALF = {c: _upper_half(c) for c in SINGLE}
-RUN = {c: re.compile("[" + "".join(map(re.escape, HALF[c])) + "]{2,}") for c in SINGLE}
+BYTE = {codec: {ord(c): b for c, b in half.items()} for codec, half in HALF.items()}
+
+
+def _sequences(codec: str) -> re.Pattern:
+    """What UTF-8 matches, in the characters that a single-byte encoding has for the bytes."""
+
+    def of(first: int, last: int) -> str:
+        return "[" + "".join(re.escape(c) for c, b in HALF[codec].items() if first <= b <= last) + "]"
+
+    cont = of(0x80, 0xBF)
+    return re.compile(f"(?:{of(0xC2, 0xDF)}{cont}|{of(0xE0, 0xE0)}{of(0xA0, 0xBF)}{cont}|{of(0xE1, 0xEF)}{cont}{{2}}|{of(0xF0, 0xF0)}{of(0x90, 0xBF)}{cont}{{2}}|{of(0xF1, 0xF4)}{cont}{{3}})+")
+
+
+SEQUENCE = {c: _sequences(c) for c in SINGLE}
 _WEST = "".join(map(re.escape, HALF["cp1252"])) + "\x80-\xff"
 WEST_RUN = re.compile(f"[{_WEST}]{{4,}}")
 WEST_PAIRS = re.compile(f"(?:[{_WEST}][{_WEST}@-~])+")
@@ -84,23 +93,12 @@ CYR = re.compile("[Ѐ-ӿ]")
 
 
 def _single_to_utf8(text: str, codec: str) -> str:
-    half = HALF[codec]
-
-    def back(m: re.Match) -> str:
-        run = m.group()
-        raw = bytes(half[c] for c in run)
-        out, at = [], 0
-        for u in UTF8.finditer(raw):
-            out += [run[at : u.start()], u.group().decode("utf-8", "replace")]
-            at = u.end()
-        return "".join(out) + run[at:]
-
-    return RUN[codec].sub(back, text)
+    half = BYTE[codec]
+    return SEQUENCE[codec].sub(lambda m: m.group().translate(half).encode("latin-1").decode("utf-8", "replace"), text)
 
 
 def _west_bytes(s: str) -> bytes:
-    half = HALF["cp1252"]
-    return bytes(half.get(c, ord(c)) if ord(c) > 0x7F else ord(c) for c in s)
+    return s.translate(BYTE["cp1252"]).encode("latin-1")
 
 
 def _west_to_east(text: str, codec: str) -> str:
@@ -145,7 +143,7 @@ def steps(text: str) -> list[tuple[str, str]]:
     for codec in SINGLE:
         if russian and codec in CYRILLIC:
             continue
-        if RUN[codec].search(text) and (t := _single_to_utf8(text, codec)) != text:
+        if (t := _single_to_utf8(text, codec)) != text:
             out.append((f"utf-8 as {codec}", t))
     if WEST_RUN.search(text):
         for codec in EAST:
@@ -216,24 +214,20 @@ def _may_be(language: str, text: str) -> bool:
 
 def restore(text: str, cost) -> tuple[str, list[str]]:
     """(text, chain): the text with the chain of decodings undone that gives the shortest description, the chain's own cost
-    included; the text as it is and no chain if none is shorter."""
-    size = lambda t: len(t.encode("utf-8", "surrogatepass"))
-    seen, sizes, front = {text: []}, {text: size(text)}, [text]
+    included; the text as it is and no chain if none is shorter. Every distinct text of every level is compressed."""
+    seen, front = {text: []}, [text]
     for _ in range(DEPTH):
         following = []
         for t in front:
             for name, u in steps(t):
                 if u not in seen:
-                    seen[u], sizes[u] = seen[t] + [name], size(u)
+                    seen[u] = seen[t] + [name]
                     following.append(u)
-        least = min(sizes.values()) * SLACK
-        front = sorted((u for u in following if sizes[u] <= least), key=lambda t: (sizes[t], t))[:BEAM]
+        front = following
     if len(seen) == 1:
         return text, []
-    # a chain that leaves the text longer than another does by more than SLACK is a wrong turn
-    least = min(sizes.values()) * SLACK
-    tried = [t for t in seen if t == text or sizes[t] <= least]
-    best = min(tried, key=lambda t: (cost(t) + STEP_BYTES * len(seen[t]), len(seen[t]), t))
+    # a plain length tells nothing of a description's: wrong Han characters are shorter than right Cyrillic ones
+    best = min(seen, key=lambda t: (cost(t) + STEP_BYTES * len(seen[t]), len(seen[t]), t))
     return best, seen[best]
 
 

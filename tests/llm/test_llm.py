@@ -136,6 +136,21 @@ def test_garbled_round_trips(spark):
     assert mojibake.md5("中") == hashlib.md5("中".encode()).hexdigest()
 
 
+def test_longer_restoration_is_tried():
+    # read as Han characters the bytes of this sentence make a shorter text than the right one
+    right = "Решение отложено до получения отчёта. Поручитель подтвердил адрес в городе и срок действия договора поручения."
+    wrong = right.encode("cp1251").decode("cp1252")
+    tried = []
+
+    def cost(t):
+        tried.append(t)
+        return 10 if t == right else 100
+
+    best, chain = mojibake.restore(wrong, cost)
+    assert best == right and chain == ["cp1251 as cp1252"]
+    assert any(len(t.encode()) * 1.15 < len(right.encode()) for t in tried)
+
+
 # ---- p1 and p3
 
 
