@@ -88,34 +88,45 @@ class Items:
         self.ids, self.q, self.table = np.array(ids, np.int64), q, table
         self.flat, self.starts = letters(texts, table)
         self.size = np.diff(self.starts)
-        self.window = np.ceil(self.size * share).astype(np.int64)
-        self.edits = np.floor(self.window * changed + 1e-9).astype(np.int64)
-        # a passage of `window` letters with `edits` changes keeps at least so many of its shingles
-        self.least = np.maximum(1, self.window - q + 1 - q * self.edits)
+        # for each number of changes the shortest passage that may have them: one that holds a longer passage's changes lies within that
+        self.passages = [self._passages(int(n), share, changed) for n in self.size]
+        # a passage of w letters with e changes keeps at least w - q + 1 - q * e of its shingles; where that is none, all texts are searched
+        kept = lambda w, e: w - q + 1 - q * e
+        self.short = [(i, [p for p in own if kept(*p) < 1]) for i, own in enumerate(self.passages)]
+        self.short = [(i, own) for i, own in self.short if own]
+        self.passages = [[(w, e, kept(w, e)) for w, e in own if kept(w, e) >= 1] for own in self.passages]
+        self.least = np.array([min((k for _, _, k in own), default=np.iinfo(np.int64).max) for own in self.passages], np.int64)
         h, self.item, self.pos = shingles(self.flat, self.starts, q)
         self.hashes, self.which = np.unique(h, return_inverse=True)
         order = np.argsort(self.which, kind="stable")
         self.posting = order
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.which, minlength=len(self.hashes)))])
         self.prefix = np.ones(len(self.hashes), bool)
-        self.short = [i for i in range(len(ids)) if 0 < self.size[i] and self.window[i] < q]
+
+    @staticmethod
+    def _passages(n: int, share: float, changed: float) -> list[tuple[int, int]]:
+        """(length, changes) of the shortest passages, from the share of an item of n letters to all of it, for each number of changes."""
+        lengths = np.arange(int(np.ceil(n * share)), n + 1) if n else np.zeros(0, np.int64)
+        edits, first = np.unique(np.floor(lengths * changed + 1e-9).astype(np.int64), return_index=True)
+        return list(zip(lengths[first].tolist(), edits.tolist(), strict=True))
 
     def narrow(self, frequency: np.ndarray) -> None:
-        """Keeps as prefix shingles those that, of some window's shingles in order of rarity, come before the `least` most frequent ones."""
+        """Keeps as prefix shingles those that, of some passage's shingles in order of rarity, come before as many most frequent ones as it keeps at least."""
         prefix = np.zeros(len(self.hashes), bool)
         for i in range(len(self.ids)):
             own = np.flatnonzero(self.item == i)
-            n = self.window[i] - self.q + 1
-            if not len(own) or n <= 0:
+            if not len(own):
                 continue
             codes = self.which[own]
             rank = np.empty(len(codes), np.int64)
             rank[np.lexsort((codes, frequency[codes]))] = np.arange(len(codes))
-            windows = np.lib.stride_tricks.sliding_window_view(rank, min(n, len(rank)))
-            need = max(1, windows.shape[1] - self.least[i] + 1)
-            # a position is needed if it is among the first of any window that holds it
-            for w, row in enumerate(windows):
-                prefix[codes[w : w + len(row)][row <= np.partition(row, need - 1)[need - 1]]] = True
+            for w, _, kept in self.passages[i]:
+                windows = np.lib.stride_tricks.sliding_window_view(rank, w - self.q + 1)
+                need = windows.shape[1] - kept
+                # a position is needed if it is among the first of any window that holds it
+                bound = np.partition(windows, need, axis=1)[:, need]
+                row, col = np.nonzero(windows <= bound[:, None])
+                prefix[codes[np.unique(row + col)]] = True
         self.prefix = prefix
 
     def frequency(self, texts: list[str]) -> np.ndarray:
@@ -135,10 +146,9 @@ class Items:
         if self.short:
             for t in range(len(texts)):
                 own = flat[starts[t] : starts[t + 1]].tolist()
-                for i in self.short:
+                for i, passages in self.short:
                     x = self.flat[self.starts[i] : self.starts[i + 1]].tolist()
-                    w = int(self.window[i])
-                    if any(within(x[a : a + w], own, int(self.edits[i])) for a in range(len(x) - w + 1)):
+                    if any(within(x[a : a + w], own, e) for w, e in passages for a in range(len(x) - w + 1)):
                         out.append((t, i))
         h, text, pos = shingles(flat, starts, self.q)
         if not len(h) or not len(self.hashes):
@@ -169,14 +179,14 @@ class Items:
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             i = int(key[a] % width)
-            if b - a >= self.least[i] and self._holds(i, self.pos[posting[a:b]], pos[rows[a:b]], flat[starts[key[a] // width] : starts[key[a] // width + 1]]):
+            at_item, at_text, own = self.pos[posting[a:b]], pos[rows[a:b]], flat[starts[key[a] // width] : starts[key[a] // width + 1]]
+            if any(b - a >= kept and self._holds(i, w, e, kept, at_item, at_text, own) for w, e, kept in self.passages[i]):
                 out.append((int(key[a] // width), i))
-        return out
+        return sorted(set(out))
 
-    def _holds(self, i: int, at: np.ndarray, there: np.ndarray, text: np.ndarray) -> bool:
-        """Whether the text holds a window of item i. Shared shingles must lie near one diagonal, enough of them in a window."""
-        w, e, least, q = int(self.window[i]), int(self.edits[i]), int(self.least[i]), self.q
-        step = max(1, e)
+    def _holds(self, i: int, w: int, e: int, least: int, at: np.ndarray, there: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the text holds a passage of w letters of item i with e changes. Shared shingles must lie near one diagonal, at least `least` of them in the passage."""
+        q, step = self.q, max(1, e)
         diagonal = there - at
         item = self.flat[self.starts[i] : self.starts[i + 1]]
         n = max(1, w - q + 1)
@@ -221,9 +231,10 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, changed:
     """(doc_id, item_id) of every document that holds one running passage of at least `share` of an item's letters, digits and
     Han characters with at most `changed` of them changed, whatever its case, width, spacing, punctuation and marks.
 
-    A prefix-filtered set join: the shingles of every item window are ordered by how many documents hold them, counted over
-    all documents; a document is a candidate only if it holds a shingle of a window's prefix, that is one of those before the
-    most frequent ones that a window with all allowed changes keeps at least. Of a candidate's shared shingles enough must
+    Passages of every length from the share on are searched, each with its own number of changes.
+    A prefix-filtered set join: the shingles of every such passage are ordered by how many documents hold them, counted over
+    all documents; a document is a candidate only if it holds a shingle of a passage's prefix, that is one of those before the
+    most frequent ones that a passage with all allowed changes keeps at least. Of a candidate's shared shingles enough must
     lie in one window and near one diagonal (length and position bounds); last, the window is searched in that place of the
     document with the exact number of changes.
 

@@ -99,6 +99,19 @@ def test_leaks_against_brute_force(spark):
     assert rows(leakage.leaks(dd.limit(0), ii)) == [] and rows(leakage.leaks(dd, ii.limit(0))) == []
 
 
+def test_longer_passages_may_have_more_changes():
+    item = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=153))
+    at = [14, 24, 34, 44, 54, 60, 66, 72, 76]
+    text = "".join("Z9"[i % 2] if i in at else c for i, c in enumerate(item[:90]))
+    table = leakage.letter_table()
+    letters = lambda t: leakage.letters([t], table)[0].tolist()
+    assert all(edits(letters(item[a : a + 77]), letters(text)) > 7 for a in range(77))
+    more = text[:40] + "ZZ" + text[40:]
+    items = leakage.Items([1, 2], [item, "abcdefghijklmnopqrst"], table)
+    items.narrow(items.frequency([text, more]))
+    assert items.found([text, more, "abcdZfghij", "abcdZfgZij"]) == [(0, 0), (2, 1)]
+
+
 # ---- p10
 
 CLEAN = {
