@@ -299,3 +299,15 @@ def test_matched_across_sources(spark):
     assert rows(got.select("entity_id", "record_id").distinct()) == [(1, 100), (2, 100), (5, 101), (6, 101)]
     assert got.filter("confidence > 1 or confidence < 0.5").count() == 0
     assert entities.matched(ledger.limit(0), n, e, p).count() == 0
+
+
+def test_a_hot_name_reaches_its_compatible_subject(spark):
+    key = lambda i: f"N{i * 7919 % 100_000:05d}012345{i:06d}"
+    trade = lambda i: chr(0x5000 + 2 * i) + chr(0x5001 + 2 * i)
+    many = range(1, entities.HOT_TOKEN + 20)
+    n = spark.createDataFrame([(i, i, f"澜城芳妍牧{trade(i)}有限公司") for i in many], "name_id bigint, entity_id bigint, name string")
+    e = spark.createDataFrame([(i, key(i), False) for i in many], "entity_id bigint, key string, person boolean")
+    p = spark.createDataFrame([(i, "注册地址", "澜城市青芦大道") for i in many], "entity_id bigint, field string, value string")
+    ledger = spark.createDataFrame([(100, "甲", f"澜城芳妍牧{trade(7)}有限公司", "尾号" + key(7)[-5:])], "record_id bigint, ledger_name string, subject_name string, cert_text string")
+    ledger = ledger.selectExpr("*", "cast(null as string) phone_text", "cast(null as string) address_text", "cast(null as string) rep_name")
+    assert rows(entities.matched(ledger, n, e, p).select("entity_id", "record_id")) == [(7, 100)]
