@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 
 def session(app: str = "tallyloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,26 +18,32 @@ def session(app: str = "tallyloom", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def cut(df):
+def cut(df, **seen):
     """The same rows with a short lineage, written by checkpoint() to the folder that all executors share.
 
-    The folder is that of spark.checkpoint.dir. Only where the session names none, as in tests, one is made here.
+    The folder is that of spark.checkpoint.dir. Only where the session names none and runs in one machine, as in tests, one
+    is made here; a cluster without one is an error. With aggregates as keyword arguments the result is (rows, their
+    values), which are taken while the rows are written and cost no pass of their own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"tallyloom-{os.getpid()}-"))
-    return df.checkpoint(eager=True)
+    if not seen:
+        return df.checkpoint(eager=True)
+    watch = Observation()
+    done = df.observe(watch, *[c.alias(name) for name, c in seen.items()]).checkpoint(eager=True)
+    return done, watch.get
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of what finished steps have left behind: shuffle files, broadcasts and checkpoints are removed once the driver's
-    garbage is collected, which in a driver with a large heap may otherwise not happen for long. Called between the phases
-    of operators that take many steps."""
-    spark.sparkContext._jvm.System.gc()
+    """Kept for callers of before: finished steps are let go of by Spark's own cleaner."""
