@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cities are learned from addresses; at most so many names of cities are kept, the most frequent ones.
-MOST_CITIES = 5_000
+from tallyloom.functions.text import half_width, no_blanks
+from tallyloom.session import cut
+
+#: Cities are learned from addresses. No country has so many names of cities; more of them are an error, none is dropped.
+MOST_CITIES = 50_000
+#: A word for a trade ends this share of all names at least, TRADE_NAMES of them at least, after TRADE_BEFORE different characters
+#: (Latin: words); the share bounds the number of trades by LONGEST_TRADE / TRADE_SHARE.
+TRADE_SHARE, TRADE_NAMES, TRADE_BEFORE, LONGEST_TRADE = 0.001, 5, 5, 6
+#: Characters of a Chinese name's own part where no known trade follows.
+OWN = 3
 GRAM = 3
+#: Words of Latin trades are compared as characters of this private range, by a hash.
+PRIVATE = 0xE000, 6_400
 
 # Forms of organisation at the end of names, titles after or within persons' names, words of Latin company names.
 FORM = re.compile("(?:集团)?(?:股份)?(?:有限)?(?:责任)?(?:公司|有限公|集团)?$")
@@ -35,8 +46,10 @@ def char_tables(spark: SparkSession) -> tuple[dict[str, str], dict[str, str]]:
 class Namer:
     """Canonical forms of names; made on the driver, used on the executors. Its tables' sizes are bounded."""
 
-    def __init__(self, readings: dict[str, str], simple: dict[str, str], cities: list[str]) -> None:
+    def __init__(self, readings: dict[str, str], simple: dict[str, str], cities: list[str], trades: dict[str, int] | None = None, words: set[str] | None = None) -> None:
+        """trades: Chinese words for trades, with how many characters stand before them; words: Latin ones."""
         self.readings, self.simple = readings, simple
+        self.trades, self.words = trades or {}, words or set()
         self.cities = sorted(set(cities), key=lambda c: (-len(c), c))
         self.city_set = set(cities)
         self.romanised = {self.roman(c): c for c in self.cities}
@@ -92,14 +105,29 @@ class Namer:
         body = FORM.sub("", text) or text
         return False, city, self.roman(branch), body, self.roman(body)
 
-    def brand(self, p: tuple[bool, str, str, str, str]) -> str:
-        """How a parsed name's own part sounds: a person's whole name, turned so that its least turn stands first; the first three
-        characters of a company's body, or the first word of a name in Latin letters."""
-        if p[0]:
-            return min(p[4][i:] + p[4][:i] for i in range(len(p[4])))
-        return self.roman(p[3][:3]) if p[3] else p[4]
+    def own_length(self, body: str) -> int:
+        """How many characters of a Chinese body are the company's own: what stands before the word for its trade, of several the
+        one with the most different characters before it."""
+        best = max(((self.trades.get(body[-n:], 0), n) for n in range(2, min(LONGEST_TRADE, len(body) - 2) + 1)), default=(0, 0))
+        return len(body) - best[1] if best[0] else min(OWN, len(body))
 
-    def _latin(self, text: str, person: bool | None) -> tuple[bool, str, str, str, str]:
+    def parts(self, p: tuple[bool, str, str, str, str], latin_trade: str) -> tuple[str, str]:
+        """(own, trade): how a parsed name's own part sounds and the rest of it. A person's whole name is turned so that its least
+        turn stands first; a name in Latin letters has its trade's words as private characters."""
+        if p[0]:
+            return min(p[4][i:] + p[4][:i] for i in range(len(p[4]))), ""
+        if not p[3]:
+            return p[4], latin_trade
+        n = self.own_length(p[3])
+        return self.roman(p[3][:n]), p[3][n:]
+
+    def named(self, name: str, person: bool | None) -> tuple[bool, str, str, str, str, str, str]:
+        """(person, city, branch, body, own part, trade, romanised body)."""
+        p = self.parse(name, person)
+        return (*p[:4], *self.parts(p[:5], p[5] if len(p) > 5 else ""), p[4]) if p[4] else (*p[:4], "", "", "")
+
+    def _latin(self, text: str, person: bool | None) -> tuple:
+        """As parse, with the trade as a sixth part."""
         low = re.sub(r"[^a-z()& -]", " ", text.lower().replace(".", " "))
         company = bool(LATIN_FORM.search(low)) or "&" in low
         if person is None:
@@ -115,7 +143,10 @@ class Namer:
                 city = self.romanised[w]
                 words.remove(w)
                 break
-        return False, city, branch, "", "".join(words[:1])
+        # a name's own part ends where a word for a trade begins
+        own = next((i for i, w in enumerate(words) if i and w in self.words), len(words))
+        first, many = PRIVATE
+        return False, city, branch, "", "".join(words[:own]), "".join(chr(first + zlib.crc32(w.encode()) % many) for w in words[own:])
 
 
 def grams(person: bool, roman: str) -> list[str]:
@@ -126,12 +157,13 @@ def grams(person: bool, roman: str) -> list[str]:
     return sorted({text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))})
 
 
-def same_trade(a: str, b: str) -> bool:
-    """Whether two Chinese bodies can be one company's: after what they start with alike, the rests are of the same characters, one perhaps shortened."""
-    if not a or not b:
-        return True
-    x, y = a[3:], b[3:]
-    if not x or not y:
+def private(c: str) -> bool:
+    return PRIVATE[0] <= ord(c[0]) < sum(PRIVATE)
+
+
+def same_trade(x: str, y: str) -> bool:
+    """Whether two trades can be one company's: they are of the same characters, one perhaps shortened or missing, or of another script."""
+    if not x or not y or private(x) != private(y):
         return True
     short, long = sorted((x, y), key=len)
     rest, hit = list(long), 0
@@ -142,14 +174,50 @@ def same_trade(a: str, b: str) -> bool:
     return hit >= 0.6 * len(short)
 
 
-def learn_cities(addresses: DataFrame) -> list[str]:
-    """Names of cities before 市 at the start of addresses, that at least three addresses have; at most MOST_CITIES."""
-    found = addresses.select(F.regexp_extract("address", r"^\s*(\p{IsHan}{2,4}?)市", 1).alias("city")).filter("city != ''").groupBy("city").count().filter("count >= 3")
-    return [r[0] for r in found.orderBy(F.desc("count"), "city").limit(MOST_CITIES).collect()]
+def learned(names: DataFrame, addresses: DataFrame) -> tuple[list[str], dict[str, int], set[str]]:
+    """(cities, Chinese words for trades with the number of characters that stand before them, Latin words for trades).
+
+    names: (name); addresses: (address). Cities are what stands before 市 at the start of at least three addresses. Every
+    ending of two to LONGEST_TRADE characters, and the last word of every Latin company's name, is counted over all names,
+    combined before the shuffle; those of a share of the names come to the driver, whose number the share bounds. More
+    than MOST_CITIES cities are an error.
+    """
+    text = F.regexp_replace(no_blanks(half_width(F.col("name"))), r"\(.*?\)|[(]?有限公司[)]?$", "")
+    body = F.regexp_replace(text, FORM.pattern, "")
+    latin = F.filter(F.split(F.regexp_replace(F.lower(half_width(F.col("name"))), LATIN_FORM.pattern + "|[^a-z]+", " "), " +"), lambda w: F.length(w) > 2)
+    token = lambda kind, word, before: F.struct(F.lit(kind).alias("kind"), word.alias("word"), before.alias("before"))
+    none = F.lit("")
+    ends = F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST_TRADE), F.length("body") - 2)), lambda n: token("han", F.right("body", n), F.substring(F.col("body"), -n - 1, F.lit(1))))
+    last = F.array(token("latin", F.get("latin", F.size("latin") - 1), F.get("latin", F.size("latin") - 2)))
+    one = lambda kind: F.array(token(kind, none, none))
+    each = names.filter("name is not null").select(body.alias("body"), latin.alias("latin"), F.lower(half_width(F.col("name"))).rlike(LATIN_FORM.pattern).alias("company")).select(
+        F.when(F.col("body").rlike(r"\p{IsHan}"), F.when(F.length("body") >= 4, F.concat(one("han"), ends)).otherwise(one("han")))
+        .when(F.col("company") & (F.size("latin") > 1), F.concat(one("latin"), last)).otherwise(one("none")).alias("e")
+    )
+    towns = addresses.select(F.array(token("city", F.regexp_extract("address", r"^\s*(\p{IsHan}{2,4}?)市", 1), none)).alias("e"))
+    found = each.unionAll(towns).select(F.explode("e").alias("e")).groupBy("e").count().groupBy("e.kind", "e.word").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("before"))
+    names_of = lambda kind: F.max(F.when((F.col("kind") == kind) & (F.col("word") == ""), F.col("n")))
+    found, seen = cut(found, han=names_of("han"), latin=names_of("latin"))
+    least = lambda kind: max(TRADE_NAMES, TRADE_SHARE * (seen[kind] or 0))
+    trade = F.when(F.col("kind") == "han", F.col("n") >= least("han")).when(F.col("kind") == "latin", F.col("n") >= least("latin")) & (F.col("before") >= TRADE_BEFORE)
+    most = MOST_CITIES + round(LONGEST_TRADE / TRADE_SHARE) * 2
+    rows = found.filter((F.col("word") != "") & (trade | ((F.col("kind") == "city") & (F.col("n") >= 3)))).limit(most + 1).collect()
+    cities = sorted(r.word for r in rows if r.kind == "city")
+    if len(cities) > MOST_CITIES or len(rows) > most:
+        raise ValueError(f"addresses name more than {MOST_CITIES} cities")
+    return cities, {r.word: r.before for r in rows if r.kind == "han"}, {r.word for r in rows if r.kind == "latin"}
+
+
+def made(names: DataFrame, addresses: DataFrame) -> Namer:
+    """The Namer of a corpus: the tables of characters, and the cities and trades that its addresses and names tell."""
+    readings, simple = char_tables(names.sparkSession)
+    cities, trades, words = learned(names, addresses)
+    # a syllable of a reading is part of a name
+    return Namer(readings, simple, cities, trades, words - set(readings.values()))
 
 
 def parsed(df: DataFrame, namer: Namer, columns: list[str]) -> DataFrame:
-    """Adds person, city, branch, body, brand, roman and grams to (columns..., name, person_hint). Names without any letter are left out."""
+    """Adds person, city, branch, body, brand (the own part), trade, roman and grams to (columns..., name, person_hint). Names without any letter are left out."""
     shipped = df.sparkSession.sparkContext.broadcast(namer)
     kinds = dict(df.dtypes)
 
@@ -157,39 +225,40 @@ def parsed(df: DataFrame, namer: Namer, columns: list[str]) -> DataFrame:
         for batch in batches:
             keep, out = [], []
             for i, (name, hint) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)):
-                p = shipped.value.parse(name, hint)
-                if p[4]:
+                p = shipped.value.named(name, hint)
+                if p[6]:
                     keep.append(i)
-                    out.append((*p[:4], shipped.value.brand(p), p[4], grams(p[0], p[4])))
+                    out.append((*p, grams(p[0], p[6])))
             if keep:
-                types = [pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+                types = [pa.bool_(), *[pa.string()] * 6, pa.list_(pa.string())]
                 taken = [batch.column(c).take(pa.array(keep)) for c in range(len(columns))]
-                yield pa.RecordBatch.from_arrays(taken + [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [*columns, "person", "city", "branch", "body", "brand", "roman", "grams"])
+                yield pa.RecordBatch.from_arrays(taken + [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [*columns, "person", "city", "branch", "body", "brand", "trade", "roman", "grams"])
 
-    schema = ", ".join([f"{c} {kinds[c]}" for c in columns] + ["person boolean, city string, branch string, body string, brand string, roman string, grams array<string>"])
+    schema = ", ".join([f"{c} {kinds[c]}" for c in columns] + ["person boolean, city string, branch string, body string, brand string, trade string, roman string, grams array<string>"])
     return df.filter("name is not null").select(*columns, "name", "person_hint").mapInArrow(run, schema)
 
 
-def gram_weights(nodes: DataFrame) -> DataFrame:
-    """(gram, df, idf) over all nodes."""
+def gram_weights(nodes: DataFrame, total: int) -> DataFrame:
+    """(gram, df, idf) over all nodes, `total` of them."""
     df = nodes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    return df.select("gram", "df", F.log1p(F.lit(max(nodes.count(), 1)) / F.col("df")).alias("idf"))
+    return df.select("gram", "df", F.log1p(F.lit(max(total, 1)) / F.col("df")).alias("idf"))
 
 
-def weighted(nodes: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """Adds `vector` (map of gram to weight, of length 1) and `prefix` (array of grams, the rarest first) to nodes with grams.
+def vectors(nodes: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """(person, roman, vector, prefix) of each romanised form: the weights of its grams at length 1 and the grams of its prefix, the rarest first.
 
-    Two nodes whose cosine reaches the threshold share a gram of both prefixes: the grams left out are too light together.
-    Vectors are made once for each romanised form.
+    Two forms whose cosine reaches the threshold share a gram of both prefixes: the grams left out are too light together.
     """
     forms = nodes.select("person", "roman", "grams").dropDuplicates(["person", "roman"])
-    each = forms.select("person", "roman", F.explode("grams").alias("gram")).join(weights, "gram")
+    each = forms.select("person", "roman", F.explode("grams").alias("gram")).join(weights.hint("merge"), "gram")
     gathered = each.groupBy("person", "roman").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "idf"))).alias("g"))
     norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda a, x: a + x["idf"] * x["idf"]))
     gathered = gathered.withColumn("norm", norm).withColumn("vector", F.map_from_arrays(F.col("g.gram"), F.transform("g", lambda x: x["idf"] / F.col("norm"))))
-    left_out = lambda i: F.aggregate(F.slice("g", i + 1, F.size("g")), F.lit(0.0), lambda a, x: a + x["idf"] * x["idf"]) / (F.col("norm") * F.col("norm"))
-    prefix = F.transform(F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: left_out(i) >= threshold * threshold), lambda i: F.get("g", i)["gram"])
-    return nodes.drop("grams").join(gathered.select("person", "roman", "vector", prefix.alias("prefix")), ["person", "roman"])
+    # the squares of the weights from each gram on, from the last back
+    left_out = F.aggregate(F.reverse("g"), F.array(F.lit(0.0)), lambda a, x: F.concat(F.array(F.get(a, F.lit(0)) + x["idf"] * x["idf"]), a))
+    gathered = gathered.withColumn("left_out", left_out)
+    prefix = F.transform(F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("left_out", i) >= threshold * threshold * F.col("norm") * F.col("norm")), lambda i: F.get("g", i)["gram"])
+    return gathered.select("person", "roman", "vector", prefix.alias("prefix"))
 
 
 def cosine(a, b):

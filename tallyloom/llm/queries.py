@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import entities, leakage, mojibake, tokens, variants
+from tallyloom.session import cut
 from tallyloom.sources.tables import table
 
 
@@ -25,8 +26,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_matches(spark, d).select("entity_id", "record_id").distinct()
 
 
+def _spelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "entity_name", "name_id", "entity_id", "name"), _entities(spark, d), table(spark, d, "entity_profile", "entity_id", "field", "value")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return variants.variant_spellings(table(spark, d, "entity_name", "name_id", "entity_id", "name"), _entities(spark, d), table(spark, d, "entity_profile", "entity_id", "field", "value"))
+    return variants.variant_spellings(*_spelled(spark, d))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each linked name with its class of spellings and its number of links; copies aren't expanded into pairs."""
+    return variants.class_sizes(cut(variants.name_classes(*_spelled(spark, d))))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -42,5 +52,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("lost"), "").otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_classes": p3_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}

@@ -181,7 +181,16 @@ def test_names_meet_in_their_canonical_form(namer):
         for o in others:
             q = namer.parse(o, False)
             assert (q[1], q[2], q[4]) == (p[1], p[2], p[4]), o
-    assert namer.brand(namer.parse("LANCHENG FANGYANMU LOGISTICS CO.,LTD", False)) == namer.brand(namer.parse("澜城芳妍牧仓储物流有限公司", False))
+    own = lambda n: namer.named(n, False)[4]
+    namer.words = {"logistics", "steel", "trading", "foods"}
+    assert own("LANCHENG FANGYANMU LOGISTICS CO.,LTD") == own("澜城芳妍牧仓储物流有限公司")
+    assert own("Huaxin Trading Co., Ltd.") == own("Huaxin Steel Co., Ltd.") == "huaxin"
+    trade = lambda n: namer.named(n, False)[5]
+    assert not names.same_trade(trade("Huaxin Trading Co., Ltd."), trade("Huaxin Steel Co., Ltd.")) and names.same_trade(trade("Huaxin Trading Ltd"), trade("Huaxin Co."))
+    assert own("Golden Sun Foods") == "goldensun" and own("Golden Dragon Chemical Ltd") == "goldendragonchemical"
+    namer.trades = {"化工": 90, "油化工": 1, "石材": 80, "贸易": 90}
+    assert [namer.named(n, False)[4:6] for n in ("中国石油化工有限公司", "中国石材有限公司", "华信贸易有限公司")] == [("zhongguoshiyou", "化工"), ("zhongguo", "石材"), ("huaxin", "贸易")]
+    namer.trades, namer.words = {}, set()
     for o in ("Heng-yan Wu", "wu hengyan", "Wu, Heng-yan"):
         assert names.grams(True, namer.parse(o, True)[4]) == names.grams(True, namer.parse("吴恒岩", True)[4])
     assert namer.parse("澜城芳妍牧仓储物流有限公司溪原分公司", False)[2] == namer.parse("澜城芳妍牧仓储物流溪原分公司", False)[2] != ""
@@ -231,13 +240,34 @@ def test_variant_spellings(spark):
     n, e, p = store(spark)
     assert rows(variants.variant_spellings(n, e, p)) == [(10, 20), (50, 60)]
     assert rows(variants.variant_spellings(n.limit(0), e.limit(0), p.limit(0))) == []
+    classes = variants.class_sizes(variants.name_classes(n, e, p))
+    assert sorted((r.name_id, r.links) for r in classes.collect() if r.links) == [(10, 1), (20, 1), (50, 1), (60, 1)]
+
+
+def test_copies_are_linked_without_all_pairs(spark, namer):
+    n = spark.createDataFrame([(i, i, "澜城芳妍牧仓储物流有限公司" if i % 2 else "澜城芳言牧仓储物流") for i in range(1, 61)], "name_id bigint, entity_id bigint, name string")
+    e = spark.createDataFrame([(i, "N29901234567890123" if i % 3 else None, False) for i in range(1, 61)], "entity_id bigint, key string, person boolean")
+    p = spark.createDataFrame([(i, "联系电话", "12000000001") for i in range(1, 61)], "entity_id bigint, field string, value string")
+    nodes, vectors, groups = variants.grouped(n, e, p, namer, variants.evidence(p))
+    assert {r.component for r in groups.collect()} == {1} and groups.count() == 60
+    assert variants.links(nodes, variants.evidence(p), vectors).count() < 120
+    assert variants.variant_spellings(n, e, p).count() == 60 * 59 // 2
+
+
+def test_trades_are_learned(spark):
+    texts = [f"{b}{t}有限公司" for b in ("甲乙丙", "丁戊己", "庚辛壬", "天地玄", "宇宙洪", "日月盈") for t in ("电子元件", "贸易")] + [f"{w} Steel Co., Ltd" for w in "Alpha Beta Gamma Delta Zeta".split()] + [None, "", "　"]
+    places = spark.createDataFrame([("澜城市青芦大道1号",)] * 3 + [("溪原市银杏西路3号",)] * 2 + [(None,)], "address string")
+    cities, trades, words = names.learned(spark.createDataFrame([(t,) for t in texts], "name string"), places)
+    assert cities == ["澜城"]
+    assert max(trades, key=lambda t: (trades[t], len(t))) == "电子元件" and "贸易" in trades and "子元件" not in trades and words == {"steel"}
+    assert names.learned(spark.createDataFrame([], "name string"), places.limit(0)) == ([], {}, set())
 
 
 @pytest.mark.parametrize("matrix", [0, variants.MATRIX_BYTES])
 def test_large_components_are_clustered(spark, namer, monkeypatch, matrix):
     monkeypatch.setattr(variants, "MATRIX_BYTES", matrix)
     weights = {}
-    form = lambda name: (False, *(p := namer.parse(name, False))[1:4], p[4])
+    form = lambda name: (False, *(p := namer.named(name, False))[1:3], p[5], p[6])
     rnd = random.Random(4)
     bodies = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(3)) for _ in range(150)]
     bodies += [b[:2] + "厦" for b in bodies]
@@ -263,9 +293,10 @@ def test_large_components_are_clustered(spark, namer, monkeypatch, matrix):
     expected: dict = {}
     for i, c in enumerate(variants.average_linkage([[like(i, j) if i < j else 0.0 for j in range(n)] for i in range(n)], 0.45)):
         expected.setdefault(c, []).append(i)
-    pairs = sorted((a, b) for own in expected.values() for a in own for b in own if a < b)
-    got = variants._clustered([(i, i, *f, [{"key": g, "value": x} for g, x in v.items()]) for i, (f, v) in enumerate(zip(forms, vectors, strict=True))], 0.45)
-    assert sorted(got) == pairs and len(pairs) > 100
+    got: dict = {}
+    for i, c in enumerate(variants.Forms([f[:4] for f in forms], [list(v.items()) for v in vectors]).clusters(0.45).tolist()):
+        got.setdefault(c, []).append(i)
+    assert sorted(got.values()) == sorted(expected.values()) and sum(len(v) > 1 for v in expected.values()) > 50
 
 
 def test_certificates():
@@ -281,11 +312,17 @@ def test_marginals_prefer_one_to_one(spark):
 
 
 @pytest.mark.parametrize("hot", [1_000, 0])
-def test_candidates_of_hot_tokens_need_two(spark, hot):
-    left = spark.createDataFrame([(1, "b", "x"), (1, "p", "1"), (2, "b", "x")], "record_id bigint, kind string, token string")
-    right = spark.createDataFrame([(10, "b", "x"), (10, "p", "1"), (11, "b", "x")], "subject bigint, kind string, token string")
-    got = [(r.record_id, r.subject, r.kinds) for r in entities.candidates(left, right, hot).orderBy("record_id", "subject").collect()]
-    assert got == ([(1, 10, ["b", "p"]), (1, 11, ["b"]), (2, 10, ["b"]), (2, 11, ["b"])] if hot else [(1, 10, ["b", "p"])])
+def test_candidates_of_hot_tokens(spark, hot):
+    left = spark.createDataFrame([(1, "b", "x"), (1, "p", "1"), (2, "b", "x"), (3, "c", "7"), (3, "c", "8")], "record_id bigint, kind string, token string")
+    right = spark.createDataFrame([(10, "b", "x"), (10, "p", "1"), (11, "b", "x"), (12, "c", "7"), (12, "c", "8"), (13, "c", "7")], "subject bigint, kind string, token string")
+    name = lambda i, city, trade: (i, False, city, "", trade)
+    kind = "person boolean, city string, branch string, trade string"
+    records = spark.createDataFrame([name(1, "A", "甲乙"), name(2, "B", "甲乙"), name(3, "A", "丙丁")], f"record_id bigint, {kind}")
+    subjects = spark.createDataFrame([name(10, "C", "甲乙"), name(11, "", "甲"), name(12, "D", "戊"), name(13, "E", "丙丁")], f"subject bigint, {kind}")
+    got = [(r.record_id, r.subject, r.kinds) for r in entities.candidates(left, right, records, subjects, hot).orderBy("record_id", "subject").collect()]
+    every = [(1, 10, ["b", "p"]), (1, 11, ["b"]), (2, 10, ["b"]), (2, 11, ["b"]), (3, 12, ["c"]), (3, 13, ["c"])]
+    # a hot token needs a second one (also of its kind) or a compatible name
+    assert got == (every if hot else [(1, 10, ["b", "p"]), (1, 11, ["b"]), (2, 11, ["b"]), (3, 12, ["c"])])
 
 
 def test_matched_across_sources(spark):
