@@ -43,6 +43,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return tokens.decoded(p8_ids(spark, d), "doc_id", "ids")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "text"))
 
@@ -52,5 +57,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("lost"), "").otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_classes": p3_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_classes": p3_classes, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found}
+SQL: dict[str, str] = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}

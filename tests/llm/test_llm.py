@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import random
 
@@ -21,6 +22,10 @@ def rows(df):
 ODD = ["", None, " ", "a", "it's don't we'll", "中文，标点。", "<|endoftext|> x", "\x1c\x1f\x85　  \n\n  x", "é́", "a" * 700, "中" * 500, " " * 300, "x\n", "1234 5678", "😀😀"]
 
 
+def single_byte(b):
+    return tokens.vocabulary("byte_bpe_50k")[0][b]
+
+
 def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -34,17 +39,44 @@ def test_tokens_equal_the_library(spark):
     for i, x in enumerate(texts):
         assert got[i] == (t.encode(x, add_special_tokens=False).ids if x else []), repr(x)
     assert tokens.encoded(df.limit(0), "doc_id", "text").count() == 0
-
-
-def test_heap_equals_recursion():
+    back = {r.doc_id: r.text for r in tokens.decoded(tokens.encoded(df, "doc_id", "text"), "doc_id", "ids").collect()}
+    assert back == {i: x or "" for i, x in enumerate(texts)}
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [10**6]), (4, [single_byte(255)])], "k bigint, ids array<int>")
+    assert rows(tokens.decoded(odd, "k", "ids")) == [(1, ""), (2, ""), (3, ""), (4, "\ufffd")]
+
+
+def merge_by_heap(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The merges by another way: the leftmost pair of the lowest rank first, with a heap."""
+    n = len(ids)
+    nxt, prv, gone = [*range(1, n), -1], [*range(-1, n - 1)], [False] * n
+    heap = [(ranks[p][0], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in ranks]
+    heapq.heapify(heap)
+    ids = list(ids)
+    while heap:
+        _, i, left, right = heapq.heappop(heap)
+        j = nxt[i] if not gone[i] else -1
+        if j < 0 or ids[i] != left or ids[j] != right:
+            continue
+        ids[i], gone[j], nxt[i] = ranks[left, right][1], True, nxt[j]
+        if nxt[j] >= 0:
+            prv[nxt[j]] = i
+        for a in (prv[i], i):
+            if a >= 0 and nxt[a] >= 0 and (p := (ids[a], ids[nxt[a]])) in ranks:
+                heapq.heappush(heap, (ranks[p][0], a, *p))
+    return [x for x, g in zip(ids, gone, strict=True) if not g]
+
+
+def test_recursion_equals_a_heap(monkeypatch):
     single, merges = tokens.vocabulary("byte_bpe_50k")
-    e = tokens.Encoder(single, merges)
     ranks = {(a, b): (r, m) for a, b, r, m in merges}
     rnd = random.Random(5)
-    words = ["".join(rnd.choice("abcdetionsr中文") for _ in range(rnd.randint(2, 40))) for _ in range(200)] + ["aaaaaaa", "ababab"]
-    e._learn(words)
-    for w in words:
-        assert e.known[w] == tokens.merge_by_heap([single[b] for b in w.encode()], ranks)
+    words = ["".join(rnd.choice("abcdetionsr中文") for _ in range(rnd.randint(1, 40))) for _ in range(200)] + ["aaaaaaa", "ababab", "a" * 100_001, "中文a" * 3_000]
+    for long in (0, tokens.LONG_WORD):
+        monkeypatch.setattr(tokens, "LONG_WORD", long)
+        e = tokens.Encoder(single, merges)
+        e._learn(words)
+        for w in words:
+            assert e.ids_of(w) == merge_by_heap([single[b] for b in w.encode()], ranks)
 
 
 # ---- p9
