@@ -90,10 +90,9 @@ class Items:
         self.size = np.diff(self.starts)
         # for each number of changes the shortest passage that may have them: one that holds a longer passage's changes lies within that
         self.passages = [self._passages(int(n), share, changed) for n in self.size]
-        # a passage of w letters with e changes keeps at least w - q + 1 - q * e of its shingles; where that is none, all texts are searched
+        # a passage of w letters with e changes keeps at least w - q + 1 - q * e of its shingles
         kept = lambda w, e: w - q + 1 - q * e
-        self.short = [(i, [p for p in own if kept(*p) < 1]) for i, own in enumerate(self.passages)]
-        self.short = [(i, own) for i, own in self.short if own]
+        self.short = self._short([[p for p in own if kept(*p) < 1] for own in self.passages])
         self.passages = [[(w, e, kept(w, e)) for w, e in own if kept(w, e) >= 1] for own in self.passages]
         self.least = np.array([min((k for _, _, k in own), default=np.iinfo(np.int64).max) for own in self.passages], np.int64)
         h, self.item, self.pos = shingles(self.flat, self.starts, q)
@@ -110,14 +109,47 @@ class Items:
         edits, first = np.unique(np.floor(lengths * changed + 1e-9).astype(np.int64), return_index=True)
         return list(zip(lengths[first].tolist(), edits.tolist(), strict=True))
 
+    def _short(self, passages: list[list[tuple[int, int]]]) -> list[tuple]:
+        """For passages that need keep none of their shingles, tables of shorter ones: of e + 1 equal pieces of a passage with e changes
+        one is whole. A table by length of the pieces: (length, their hashes in order, the item and passage of each)."""
+        out: dict[int, list] = {}
+        for i, own in enumerate(passages):
+            for w, e in own:
+                q = w // (e + 1)
+                flat = self.flat[self.starts[i] : self.starts[i + 1]]
+                out.setdefault(q, []).extend((int(x), i, w, e) for x in np.unique(shingles(flat, np.array([0, len(flat)]), q)[0]))
+        tables = []
+        for q, rows in sorted(out.items()):
+            rows.sort()
+            tables.append((q, np.array([r[0] for r in rows], np.uint64), [r[1:] for r in rows]))
+        return tables
+
+    def _found_short(self, flat: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
+        """(index of the text, index of the item) of the texts that hold a passage which need keep no shingle."""
+        out: set[tuple[int, int]] = set()
+        for q, hashes, passages in self.short:
+            h, text, pos = shingles(flat, starts, q)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                t, at = int(text[k]), int(pos[k])
+                own = flat[starts[t] : starts[t + 1]]
+                for i, w, e in passages[lo[k] : hi[k]]:
+                    if (t, i) not in out:
+                        region = own[max(0, at - w - e) : at + q + w + e].tolist()
+                        x = self.flat[self.starts[i] : self.starts[i + 1]].tolist()
+                        if any(within(x[a : a + w], region, e) for a in range(len(x) - w + 1)):
+                            out.add((t, i))
+        return out
+
     def narrow(self, frequency: np.ndarray) -> None:
         """Keeps as prefix shingles those that, of some passage's shingles in order of rarity, come before as many most frequent ones as it keeps at least."""
         prefix = np.zeros(len(self.hashes), bool)
+        # shingles come item by item
+        edges = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
         for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            if not len(own):
+            codes = self.which[edges[i] : edges[i + 1]]
+            if not len(codes):
                 continue
-            codes = self.which[own]
             rank = np.empty(len(codes), np.int64)
             rank[np.lexsort((codes, frequency[codes]))] = np.arange(len(codes))
             for w, _, kept in self.passages[i]:
@@ -142,14 +174,7 @@ class Items:
     def found(self, texts: list[str]) -> list[tuple[int, int]]:
         """(index of the text, index of the item) of every text that holds a passage of an item."""
         flat, starts = letters(texts, self.table)
-        out = []
-        if self.short:
-            for t in range(len(texts)):
-                own = flat[starts[t] : starts[t + 1]].tolist()
-                for i, passages in self.short:
-                    x = self.flat[self.starts[i] : self.starts[i + 1]].tolist()
-                    if any(within(x[a : a + w], own, e) for w, e in passages for a in range(len(x) - w + 1)):
-                        out.append((t, i))
+        out = sorted(self._found_short(flat, starts))
         h, text, pos = shingles(flat, starts, self.q)
         if not len(h) or not len(self.hashes):
             return out
@@ -236,7 +261,8 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, changed:
     all documents; a document is a candidate only if it holds a shingle of a passage's prefix, that is one of those before the
     most frequent ones that a passage with all allowed changes keeps at least. Of a candidate's shared shingles enough must
     lie in one window and near one diagonal (length and position bounds); last, the window is searched in that place of the
-    document with the exact number of changes.
+    document with the exact number of changes. Passages so short that their changes may leave no shingle whole are met by
+    shorter ones, one of which is whole.
 
     documents (doc_id, text) are read twice and never shuffled, whatever their sources' sizes. items (item_id, text) are a
     stated query set; they are taken in blocks of at most `block_letters` letters, so what is broadcast is bounded, and each
@@ -265,6 +291,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, changed:
         frequency = np.zeros(len(base.hashes), np.int64)
         for shingle, n in docs.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n")).toLocalIterator():
             frequency[shingle] = n
+        shipped.unpersist()
         base.narrow(frequency)
         narrowed = spark.sparkContext.broadcast(base)
 

@@ -83,14 +83,14 @@ def test_recursion_equals_a_heap(monkeypatch):
 
 
 def brute_leaks(docs, items):
+    """Every passage of every length from half an item on, with at most one in ten changed."""
     table = leakage.letter_table()
     flat = lambda t: leakage.letters([t], table)[0].tolist()
     out = set()
     for d, text in docs:
         for i, item in items:
             x, t = flat(item or ""), flat(text or "")
-            w = -(-len(x) // 2)
-            if x and any(edits(x[a : a + w], t) <= w // 10 for a in range(len(x) - w + 1)):
+            if any(edits(x[a : a + w], t) <= w // 10 for w in range(max(1, -(-len(x) // 2)), len(x) + 1) for a in range(len(x) - w + 1)):
                 out.add((d, i))
     return sorted(out)
 
@@ -131,6 +131,25 @@ def test_leaks_against_brute_force(spark):
     assert rows(leakage.leaks(dd.limit(0), ii)) == [] and rows(leakage.leaks(dd, ii.limit(0))) == []
 
 
+def test_short_items_against_brute_force():
+    rnd = random.Random(12)
+    items = [(i, "".join(rnd.choice("abcd甲乙丙") for _ in range(n))) for i, n in enumerate([*range(1, 13), *range(12, 41, 2)])]
+    docs = []
+    for d in range(120):
+        x = rnd.choice(items)[1]
+        n = rnd.randint(-(-len(x) // 2), len(x))
+        a = rnd.randint(0, len(x) - n)
+        piece = list(x[a : a + n])
+        for _ in range(rnd.randint(0, 1 + n // 10)):
+            k = rnd.randrange(len(piece))
+            piece[k] = rnd.choice(["z", "", "z" + piece[k]])
+        docs.append((d, "".join(rnd.choice("wxy") for _ in range(rnd.randint(0, 9))) + "".join(piece) + "，vw"))
+    block = leakage.Items([i for i, _ in items], [x for _, x in items], leakage.letter_table())
+    block.narrow(block.frequency([t for _, t in docs]))
+    got = sorted({(docs[t][0], items[i][0]) for t, i in block.found([t for _, t in docs])})
+    assert got == brute_leaks(docs, items) and len(got) > 200
+
+
 def test_longer_passages_may_have_more_changes():
     item = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=153))
     at = [14, 24, 34, 44, 54, 60, 66, 72, 76]
