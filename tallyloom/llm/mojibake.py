@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Dictionaries are fitted on at most so many documents, chosen by a hash of their keys, and on none longer than LONGEST_SAMPLE.
-SAMPLE_DOCS, LONGEST_SAMPLE = 4_000, 20_000
+#: Dictionaries are fitted on at most so many documents, chosen by a hash of their keys, on none longer than LONGEST_SAMPLE and on
+#: SAMPLE_CHARS characters in all.
+SAMPLE_DOCS, LONGEST_SAMPLE, SAMPLE_CHARS = 4_000, 20_000, 8_000_000
 #: Bytes of a dictionary, and of each step of a chain of decodings in a description.
 DICTIONARY_BYTES, STEP_BYTES = 65_536, 2
 #: Decodings in a row that are undone at most.
@@ -60,11 +61,13 @@ def _sequences(codec: str) -> re.Pattern:
 SEQUENCE = {c: _sequences(c) for c in SINGLE}
 _WEST = "".join(map(re.escape, HALF["cp1252"])) + "\x80-\xff"
 WEST_RUN = re.compile(f"[{_WEST}]{{4,}}")
+WEST_ANY = re.compile(f"[{_WEST}]+")
 WEST_PAIRS = re.compile(f"(?:[{_WEST}][{_WEST}@-~])+")
 CYRILLIC_TEXT = re.compile("[Ѐ-ӿ─-▟]+")
 CYRILLIC_RUN = re.compile("[Ѐ-ӿ─-▟]{3,}")
 CYRILLIC_WORD = re.compile("[А-ЯЁ]?[а-яё]*|[А-ЯЁ]+")
 NON_ASCII = re.compile("[^\x00-\x7f]{4,}")
+NON_ASCII_RUN = re.compile("([^\x00-\x7f]+)")
 
 
 def _classes() -> tuple[str, str, str, str]:
@@ -92,23 +95,27 @@ KANA = re.compile("[぀-ヿ]")
 CYR = re.compile("[Ѐ-ӿ]")
 
 
+@lru_cache(100_000)
+def _undone(run: str, codec: str) -> str:
+    """A run of UTF-8 sequences that was read with a single-byte encoding."""
+    return run.translate(BYTE[codec]).encode("latin-1").decode("utf-8", "replace")
+
+
 def _single_to_utf8(text: str, codec: str) -> str:
-    half = BYTE[codec]
-    return SEQUENCE[codec].sub(lambda m: m.group().translate(half).encode("latin-1").decode("utf-8", "replace"), text)
+    return SEQUENCE[codec].sub(lambda m: _undone(m.group(), codec), text)
 
 
-def _west_bytes(s: str) -> bytes:
-    return s.translate(BYTE["cp1252"]).encode("latin-1")
+@lru_cache(100_000)
+def _from_west(run: str, codec: str, errors: str = "strict") -> str:
+    """Bytes of an encoding that were read as Western single bytes; the run as it is where they can't be."""
+    try:
+        return run.translate(BYTE["cp1252"]).encode("latin-1").decode(codec, errors)
+    except UnicodeDecodeError:
+        return run
 
 
 def _west_to_east(text: str, codec: str) -> str:
-    def back(m: re.Match) -> str:
-        try:
-            return _west_bytes(m.group()).decode(codec)
-        except UnicodeDecodeError:
-            return m.group()
-
-    return WEST_PAIRS.sub(back, text)
+    return WEST_PAIRS.sub(lambda m: _from_west(m.group(), codec), text)
 
 
 def _usual(text: str) -> bool:
@@ -125,15 +132,18 @@ def _usual(text: str) -> bool:
     return basic * 3 >= len(text) * 2
 
 
-def _recode(text: str, run: re.Pattern, read_as: str, is_in: str, usual=lambda t: True) -> str:
-    def back(m: re.Match) -> str:
-        try:
-            t = m.group().encode(read_as).decode(is_in)
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            return m.group()
-        return t if usual(t) else m.group()
+@lru_cache(100_000)
+def _reread(run: str, read_as: str, is_in: str, usual: bool = False) -> str:
+    """A run that was read with one encoding and is in another; as it is where that can't be, or isn't usual."""
+    try:
+        t = run.encode(read_as).decode(is_in)
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return run
+    return t if not usual or _usual(t) else run
 
-    return run.sub(back, text)
+
+def _recode(text: str, run: re.Pattern, read_as: str, is_in: str, usual: bool = False) -> str:
+    return run.sub(lambda m: _reread(m.group(), read_as, is_in, usual), text)
 
 
 def steps(text: str) -> list[tuple[str, str]]:
@@ -150,10 +160,10 @@ def steps(text: str) -> list[tuple[str, str]]:
             if (t := _west_to_east(text, codec)) != text:
                 out.append((f"{codec} as cp1252", t))
         for codec in CYRILLIC:
-            t = re.sub(f"[{_WEST}]+", lambda m, codec=codec: _west_bytes(m.group()).decode(codec, "replace"), text)
+            t = WEST_ANY.sub(lambda m, codec=codec: _from_west(m.group(), codec, "replace"), text)
             if t != text and LOST not in t[: len(text)]:
                 out.append((f"{codec} as cp1252", t))
-    if GBK_UTF8.search(text) and (t := _recode(text, GBK_UTF8, "gbk", "utf-8", _usual)) != text:
+    if GBK_UTF8.search(text) and (t := _recode(text, GBK_UTF8, "gbk", "utf-8", True)) != text:
         out.append(("utf-8 as gbk", t))
     if HAN.search(text) or KANA.search(text) or "ｱ" <= max(text) <= "ﾟ":
         for codec in MULTI[1:]:
@@ -164,9 +174,24 @@ def steps(text: str) -> list[tuple[str, str]]:
             for b in CYRILLIC:
                 if a != b and (t := _recode(text, CYRILLIC_RUN, a, b)) != text:
                     out.append((f"{b} as {a}", t))
+    if HAN.search(text) and (t := _west_in_gbk(text)) != text:
+        out.append(("utf-8 as gb18030", t))
     return out
 
 
+def _west_in_gbk(text: str) -> str:
+    """UTF-8 of letters of two bytes and of kana that was read as GB 18030: undone only if all of the text's runs beyond ASCII can be."""
+    out = []
+    for part in NON_ASCII_RUN.split(text):
+        if part and not part.isascii():
+            try:
+                part = part.encode("gb18030").decode("utf-8")
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                return text
+        out.append(part)
+    return "".join(out)
+
+
 class Cost:
     """Bytes of a text's description: the smallest of its compressions with each language's dictionary."""
 
@@ -214,21 +239,21 @@ def _may_be(language: str, text: str) -> bool:
 
 def restore(text: str, cost) -> tuple[str, list[str]]:
     """(text, chain): the text with the chain of decodings undone that gives the shortest description, the chain's own cost
-    included; the text as it is and no chain if none is shorter. Every distinct text of every level is compressed."""
-    seen, front = {text: []}, [text]
+    included; the text as it is and no chain if none is shorter. Every distinct text of every level is compressed; none is
+    pruned, as what lies between a text and its restoration may have the longest description of the three."""
+    chains, front = {text: []}, [text]
     for _ in range(DEPTH):
         following = []
         for t in front:
             for name, u in steps(t):
-                if u not in seen:
-                    seen[u] = seen[t] + [name]
+                if u not in chains:
+                    chains[u] = chains[t] + [name]
                     following.append(u)
         front = following
-    if len(seen) == 1:
+    if len(chains) == 1:
         return text, []
-    # a plain length tells nothing of a description's: wrong Han characters are shorter than right Cyrillic ones
-    best = min(seen, key=lambda t: (cost(t) + STEP_BYTES * len(seen[t]), len(seen[t]), t))
-    return best, seen[best]
+    best = min(chains, key=lambda t: (cost(t) + STEP_BYTES * len(chains[t]), len(chains[t]), t))
+    return best, chains[best]
 
 
 def is_lost(text: str) -> bool:
@@ -259,7 +284,9 @@ def fitted(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Cost:
     The sample is what a bounded fit may be; the search for garbled text covers all documents.
     """
     docs = _documents(documents)
-    chosen = docs.filter(F.length("text") <= LONGEST_SAMPLE).select(F.col("doc_id").alias("chosen"), F.xxhash64("doc_id").alias("h")).orderBy("h", "chosen").limit(sample_docs)
+    chosen = docs.filter(F.length("text") <= LONGEST_SAMPLE).select(F.col("doc_id").alias("chosen"), F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).orderBy("h", "chosen").limit(sample_docs)
+    # the window is over the sample's rows
+    chosen = chosen.withColumn("n", F.sum("n").over(Window.orderBy("h", "chosen"))).filter(F.col("n") <= SAMPLE_CHARS)
     rows = docs.join(F.broadcast(chosen.select("chosen")), F.col("doc_id") == F.col("chosen"), "left_semi").select(F.lower(F.substring("lang", 1, 2)).alias("lang"), "text").collect()
     samples: dict[str, list[bytes]] = {}
     for lang, text in sorted(rows, key=lambda r: r[1]):
@@ -297,7 +324,3 @@ def garbled(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts), pa.array(chains, pa.list_(pa.string())), pa.array(lost)], ["doc_id", "restored", "chain", "lost"])
 
     return _documents(documents).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, restored string, chain array<string>, lost boolean")
-
-
-def md5(text: str) -> str:
-    return hashlib.md5(text.encode("utf-8")).hexdigest()
