@@ -16,9 +16,9 @@ from tallyloom.session import cut
 
 #: Cities are learned from addresses. No country has so many names of cities; more of them are an error, none is dropped.
 MOST_CITIES = 50_000
-#: A word for a trade ends this share of all names at least, TRADE_NAMES of them at least, after TRADE_BEFORE different characters
-#: (Latin: words); the share bounds the number of trades by LONGEST_TRADE / TRADE_SHARE.
-TRADE_SHARE, TRADE_NAMES, TRADE_BEFORE, LONGEST_TRADE = 0.001, 5, 5, 6
+#: A word for a trade ends (Latin: follows in) this share of all names at least, TRADE_NAMES of them at least, after TRADE_BEFORE different
+#: characters (Latin: words) and TRADE_VARIETY of the most that any has; the share bounds the number of trades by 10 / TRADE_SHARE.
+TRADE_SHARE, TRADE_NAMES, TRADE_BEFORE, TRADE_VARIETY, LONGEST_TRADE = 0.001, 5, 5, 0.1, 6
 #: Characters of a Chinese name's own part where no known trade follows.
 OWN = 3
 GRAM = 3
@@ -109,7 +109,11 @@ class Namer:
         """How many characters of a Chinese body are the company's own: what stands before the word for its trade, of several the
         one with the most different characters before it."""
         best = max(((self.trades.get(body[-n:], 0), n) for n in range(2, min(LONGEST_TRADE, len(body) - 2) + 1)), default=(0, 0))
-        return len(body) - best[1] if best[0] else min(OWN, len(body))
+        if not best[0]:
+            return min(OWN, len(body))
+        own = len(body) - best[1]
+        # a character typed twice where the trade begins
+        return own - 1 if own > 2 and body[own - 1] == body[own] else own
 
     def parts(self, p: tuple[bool, str, str, str, str], latin_trade: str) -> tuple[str, str]:
         """(own, trade): how a parsed name's own part sounds and the rest of it. A person's whole name is turned so that its least
@@ -178,8 +182,8 @@ def learned(names: DataFrame, addresses: DataFrame) -> tuple[list[str], dict[str
     """(cities, Chinese words for trades with the number of characters that stand before them, Latin words for trades).
 
     names: (name); addresses: (address). Cities are what stands before 市 at the start of at least three addresses. Every
-    ending of two to LONGEST_TRADE characters, and the last word of every Latin company's name, is counted over all names,
-    combined before the shuffle; those of a share of the names come to the driver, whose number the share bounds. More
+    ending of two to LONGEST_TRADE characters, and every word but the first of Latin companies' names, is counted over all
+    names, combined before the shuffle; those of a share of the names come to the driver, whose number the share bounds. More
     than MOST_CITIES cities are an error.
     """
     text = F.regexp_replace(no_blanks(half_width(F.col("name"))), r"\(.*?\)|[(]?有限公司[)]?$", "")
@@ -188,19 +192,19 @@ def learned(names: DataFrame, addresses: DataFrame) -> tuple[list[str], dict[str
     token = lambda kind, word, before: F.struct(F.lit(kind).alias("kind"), word.alias("word"), before.alias("before"))
     none = F.lit("")
     ends = F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST_TRADE), F.length("body") - 2)), lambda n: token("han", F.right("body", n), F.substring(F.col("body"), -n - 1, F.lit(1))))
-    last = F.array(token("latin", F.get("latin", F.size("latin") - 1), F.get("latin", F.size("latin") - 2)))
+    words = F.transform(F.sequence(F.lit(1), F.size("latin") - 1), lambda i: token("latin", F.get("latin", i), F.get("latin", i - 1)))
     one = lambda kind: F.array(token(kind, none, none))
     each = names.filter("name is not null").select(body.alias("body"), latin.alias("latin"), F.lower(half_width(F.col("name"))).rlike(LATIN_FORM.pattern).alias("company")).select(
         F.when(F.col("body").rlike(r"\p{IsHan}"), F.when(F.length("body") >= 4, F.concat(one("han"), ends)).otherwise(one("han")))
-        .when(F.col("company") & (F.size("latin") > 1), F.concat(one("latin"), last)).otherwise(one("none")).alias("e")
+        .when(F.col("company") & (F.size("latin") > 1), F.concat(one("latin"), words)).otherwise(one("none")).alias("e")
     )
     towns = addresses.select(F.array(token("city", F.regexp_extract("address", r"^\s*(\p{IsHan}{2,4}?)市", 1), none)).alias("e"))
     found = each.unionAll(towns).select(F.explode("e").alias("e")).groupBy("e").count().groupBy("e.kind", "e.word").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("before"))
-    names_of = lambda kind: F.max(F.when((F.col("kind") == kind) & (F.col("word") == ""), F.col("n")))
-    found, seen = cut(found, han=names_of("han"), latin=names_of("latin"))
-    least = lambda kind: max(TRADE_NAMES, TRADE_SHARE * (seen[kind] or 0))
-    trade = F.when(F.col("kind") == "han", F.col("n") >= least("han")).when(F.col("kind") == "latin", F.col("n") >= least("latin")) & (F.col("before") >= TRADE_BEFORE)
-    most = MOST_CITIES + round(LONGEST_TRADE / TRADE_SHARE) * 2
+    of = lambda kind, what: F.max(F.when((F.col("kind") == kind) & (F.col("word") == "" if what == "n" else F.lit(True)), F.col(what)))
+    found, seen = cut(found, han=of("han", "n"), latin=of("latin", "n"), han_before=of("han", "before"), latin_before=of("latin", "before"))
+    enough = lambda kind: (F.col("n") >= max(TRADE_NAMES, TRADE_SHARE * (seen[kind] or 0))) & (F.col("before") >= max(TRADE_BEFORE, TRADE_VARIETY * (seen[kind + "_before"] or 0)))
+    trade = F.when(F.col("kind") == "han", enough("han")).when(F.col("kind") == "latin", enough("latin"))
+    most = MOST_CITIES + round(10 / TRADE_SHARE) * 2
     rows = found.filter((F.col("word") != "") & (trade | ((F.col("kind") == "city") & (F.col("n") >= 3)))).limit(most + 1).collect()
     cities = sorted(r.word for r in rows if r.kind == "city")
     if len(cities) > MOST_CITIES or len(rows) > most:
@@ -251,14 +255,13 @@ def vectors(nodes: DataFrame, weights: DataFrame, threshold: float) -> DataFrame
     """
     forms = nodes.select("person", "roman", "grams").dropDuplicates(["person", "roman"])
     each = forms.select("person", "roman", F.explode("grams").alias("gram")).join(weights.hint("merge"), "gram")
-    gathered = each.groupBy("person", "roman").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "idf"))).alias("g"))
-    norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda a, x: a + x["idf"] * x["idf"]))
-    gathered = gathered.withColumn("norm", norm).withColumn("vector", F.map_from_arrays(F.col("g.gram"), F.transform("g", lambda x: x["idf"] / F.col("norm"))))
-    # the squares of the weights from each gram on, from the last back
-    left_out = F.aggregate(F.reverse("g"), F.array(F.lit(0.0)), lambda a, x: F.concat(F.array(F.get(a, F.lit(0)) + x["idf"] * x["idf"]), a))
-    gathered = gathered.withColumn("left_out", left_out)
-    prefix = F.transform(F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("left_out", i) >= threshold * threshold * F.col("norm") * F.col("norm")), lambda i: F.get("g", i)["gram"])
-    return gathered.select("person", "roman", "vector", prefix.alias("prefix"))
+    gathered = each.groupBy("person", "roman").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "idf"))).alias("g"), F.sum(F.col("idf") * F.col("idf")).alias("all"))
+    vector = F.map_from_arrays(F.col("g.gram"), F.transform("g", lambda x: x["idf"] / F.sqrt("all")))
+    # a gram belongs to the prefix as long as what is left from it on is heavy enough
+    start = F.struct(F.col("all").alias("left"), F.array().cast("array<string>").alias("prefix"))
+    heavy = lambda a: a["left"] >= threshold * threshold * F.col("all") - 1e-9
+    step = lambda a, x: F.struct((a["left"] - x["idf"] * x["idf"]).alias("left"), F.when(heavy(a), F.concat(a["prefix"], F.array(x["gram"]))).otherwise(a["prefix"]).alias("prefix"))
+    return gathered.select("person", "roman", vector.alias("vector"), F.aggregate("g", start, step)["prefix"].alias("prefix"))
 
 
 def cosine(a, b):

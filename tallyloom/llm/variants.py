@@ -41,12 +41,21 @@ def place(c: Column) -> Column:
 
 def evidence(profile: DataFrame) -> DataFrame:
     """(entity_id, what, value): what entries of a profile tell of a subject beside its name: telephone, representative, address."""
-    kept = profile.filter("entity_id is not null and value is not null").select("entity_id", clean_field(F.col("field")).alias("field"), "value")
+    # a character that each of the fields has, so that few fields need cleaning
+    near = F.lit(False)
+    for c in "电代址所":
+        near = near | F.col("field").contains(c)
+    kept = profile.filter("entity_id is not null and value is not null").filter(near).select("entity_id", clean_field(F.col("field")).alias("field"), "value")
     what = F.when(F.col("field") == "联系电话", "phone").when(F.col("field") == "法定代表人", "rep").when(F.col("field").isin("注册地址", "住所"), "address")
     value = F.when(what == "phone", phone_digits(F.col("value"))).otherwise(place(F.col("value")))
     return kept.select("entity_id", what.alias("what"), value.alias("value")).filter("what is not null and value is not null and length(value) > 1").distinct()
 
 
+def addresses(profile: DataFrame) -> DataFrame:
+    """(address): entries of a profile that may be one."""
+    return profile.filter(F.col("value").contains("市")).select(F.col("value").alias("address"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b): the least node of each connected component, by contraction.
 
@@ -85,13 +94,16 @@ def compatible(a: str, b: str) -> Column:
     )
 
 
+def _latin(trade: Column) -> Column:
+    return (trade >= chr(N.PRIVATE[0])) & (trade < chr(sum(N.PRIVATE)))
+
+
 def same_trade(a: str, b: str) -> Column:
     """As names.same_trade, of two columns."""
     x, y = F.col(a), F.col(b)
     short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
     missing = F.length(F.call_function("translate", short, long, F.lit("")))
-    latin = lambda c: (c >= chr(N.PRIVATE[0])) & (c < chr(sum(N.PRIVATE)))
-    return (short == "") | (latin(x) != latin(y)) | (F.length(short) - missing >= 0.6 * F.length(short))
+    return (short == "") | (_latin(x) != _latin(y)) | (F.length(short) - missing >= 0.6 * F.length(short))
 
 
 def nodes_of(names: DataFrame, entities: DataFrame, namer: N.Namer) -> DataFrame:
@@ -133,7 +145,9 @@ def lone_links(nodes: DataFrame) -> DataFrame:
     without a key is linked to the group's first entity (that with the key before others), so that no pairs within a
     group arise; what is linked still has to pass the average linkage.
     """
-    forms = nodes.select("entity_id", "key", "person", "city", "branch", "brand", F.substring("trade", 1, 1).alias("trade"))
+    # a trade in another script can't be compared
+    trade = F.when(_latin(F.col("trade")), "").otherwise(F.substring("trade", 1, 1))
+    forms = nodes.select("entity_id", "key", "person", "city", "branch", "brand", trade.alias("trade"))
     ways = F.explode(F.array(*[F.struct(F.lit(c).alias("no_city"), F.lit(t).alias("no_trade")) for c in (False, True) for t in (False, True)])).alias("w")
     each = forms.select("*", ways).select(
         "entity_id", "key", "person", "brand", "branch", "w.no_city", "w.no_trade", F.when(F.col("w.no_city"), "").otherwise(F.col("city")).alias("city"), F.when(F.col("w.no_trade"), "").otherwise(F.col("trade")).alias("trade"),
@@ -310,8 +324,8 @@ def name_classes(names: DataFrame, entities: DataFrame, profile: DataFrame, thre
     linked with; names of entities that are lost count, by their own facts; copies count once; an entity without a key and
     without a shared fact is linked only where its name sounds like one subject's; empty tables give no rows.
     """
-    namer = N.made(names, profile.filter(clean_field(F.col("field")).isin("注册地址", "住所")).select(F.col("value").alias("address")))
-    nodes, vectors, groups = grouped(names, entities, profile, namer, evidence(profile), threshold)
+    namer = N.made(names, addresses(profile))
+    nodes, vectors, groups = grouped(names, entities, profile, namer, cut(evidence(profile)), threshold)
     return spelled_alike(nodes, groups, vectors, linkage)
 
 
