@@ -139,8 +139,8 @@ FIELD_KINDS = {"注册资本": "money", "资产总额": "money", "年营业收
 def p5_units(spark: SparkSession, d: str) -> DataFrame:
     """Every row of a quantity field with its quantity in common units, how it was found and its segment of the history."""
     kinds = F.create_map(*[F.lit(x) for pair in FIELD_KINDS.items() for x in pair])
-    rows = table(spark, d, "entity_profile", "profile_id", "entity_id", "field", "value", "unit", "valid_from", "created_at").withColumn("field", clean_field(F.col("field"))).filter(F.col("field").isin(*FIELD_KINDS))
-    rows = rows.select(F.col("profile_id").alias("row_id"), "entity_id", "field", kinds[F.col("field")].alias("kind"), "value", "unit", F.coalesce(day(F.col("valid_from")), iso_instant(F.col("created_at")).cast("date")).alias("at"))
+    rows = table(spark, d, "entity_profile", "profile_id", "source_id", "entity_id", "field", "value", "unit", "valid_from", "created_at").withColumn("field", clean_field(F.col("field"))).filter(F.col("field").isin(*FIELD_KINDS))
+    rows = rows.select(F.col("profile_id").alias("row_id"), "source_id", "entity_id", "field", kinds[F.col("field")].alias("kind"), "value", "unit", F.coalesce(day(F.col("valid_from")), iso_instant(F.col("created_at")).cast("date")).alias("at"))
     return units.to_common_units(rows).withColumnRenamed("row_id", "profile_id")
 
 

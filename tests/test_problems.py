@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -145,14 +146,31 @@ def test_segments_are_exact():
 @pytest.mark.parametrize("limit", [100_000, 3])
 def test_units_are_inferred_from_level_shifts(spark, limit):
     data = [(1, 7, "f", "money", "500万元", None, date(2020, 1, 1)), (2, 7, "f", "money", "505", None, date(2020, 2, 1)), (3, 7, "f", "money", "5100000", None, date(2020, 3, 1)), (4, 7, "f", "money", "5.2e6", "元", date(2020, 4, 1)), (5, None, "f", "money", "5", None, None), (6, 7, "f", "money", "0", "元", None), (6, 7, "f", "money", "0", "元", None)]
-    df = spark.createDataFrame(data, "row_id bigint, entity_id bigint, field string, kind string, value string, unit string, at date").withColumn("order", F.lit(1))
+    df = spark.createDataFrame(data, "row_id bigint, entity_id bigint, field string, kind string, value string, unit string, at date").withColumn("order", F.lit(1)).withColumn("source_id", F.lit(None).cast("bigint"))
     got = {r.row_id: (r.common, r.origin) for r in units.to_common_units(df, limit).collect()}
     assert got[1] == (500000000, "stated") and got[4] == (520000000, "stated") and got[5] == (None, "none") and got[6] == (0, "stated") and len(got) == 6
-    if limit > 10:
+    if limit > 3:
         assert got[2] == (505000000, "inferred") and got[3] == (510000000, "inferred")
     assert units.to_common_units(df.limit(0)).count() == 0
 
 
+def test_a_source_that_changes_its_unit(spark):
+    # 40 entities state their capital elsewhere; source 9 writes bare numbers, first in 元, then in 万元
+    stated = [(i, None, i, "f", "money", f"{100 + i}万元", None, date(2020, 1, 1)) for i in range(40)]
+    bare = [(100 + i, 9, i, "f", "money", str((100 + i) * (10_000 if i < 20 else 1)), None, date(2020, 2, 1 + i % 20 if i < 20 else 1)) if i < 20 else (100 + i, 9, i, "f", "money", str(100 + i), None, date(2020, 3, i - 19)) for i in range(40)]
+    df = spark.createDataFrame(stated + bare, "row_id bigint, source_id bigint, entity_id bigint, field string, kind string, value string, unit string, at date")
+    got = {r.row_id: (r.common, r.origin, r.segment) for r in units.to_common_units(df).collect()}
+    assert all(got[100 + i] == ((100 + i) * 1_000_000, "inferred", int(i >= 20)) for i in range(40))
+
+
+def test_segments_of_long_histories_take_little_time():
+    began = time.time()
+    assert units.segments([7.0] * 100_000) == [0]
+    rnd = random.Random(3)
+    steps = [rnd.gauss(4 * (i // 25_000 % 2), 0.1) for i in range(100_000)]
+    assert len(units.segments(steps)) >= 4 and time.time() - began < 20
+
+
 # ---- p2
 
 TIMES = [
