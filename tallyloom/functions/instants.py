@@ -63,12 +63,16 @@ def read_instants(df: DataFrame, text: str, order: str, between=lambda df: df) -
     n = lambda i: F.get("i_n", F.lit(i))
     part = lambda i: F.get("i_p", F.lit(i))
     zone = F.when(part(0) == "北京时间", F.lit("+0800")).otherwise(part(9))
-    pm, am = part(4).rlike("^(下午|中午|晚上|[Pp][Mm])$"), part(4).rlike("^(上午|凌晨|早上|[Aa][Mm])$")
-    hour = F.when(pm & (n(5) < 12), n(5) + 12).when(am & (n(5) == 12), 0).otherwise(n(5))
+    half, h = part(4), n(5)
+    hour = (
+        F.when(half.rlike("^(下午|[Pp][Mm])$") & (h < 12), h + 12).when(half.rlike("^(上午|凌晨|早上|[Aa][Mm])$") & (h == 12), 0)
+        # noon is from ten to three, an evening ends in the small hours of the next day
+        .when((half == "中午") & (h < 4), h + 12).when((half == "晚上") & (h < 13), F.when(h == 12, 24).when(h < 5, h + 24).otherwise(h + 12)).otherwise(h)
+    )
     date = F.concat_ws("-", part(1), n(2).cast("string"), part(3)).try_cast("date")
-    df = df.select(*keep, "i_c", "i_n", zone.alias("i_z"), hour.alias("i_h"), F.unix_date(date).alias("i_d"), F.rpad(F.substring(part(8), 1, 6), 6, "0").try_cast("bigint").alias("i_f"), (F.size("i_p") > 1).alias("i_many"))
+    df = df.select(*keep, "i_c", "i_n", zone.alias("i_z"), hour.alias("i_h"), F.unix_date(date).alias("i_d"), F.rpad(F.substring(part(8), 1, 6), 6, "0").try_cast("bigint").alias("i_f"), (F.size("i_p") > 1).alias("i_many"), F.coalesce(part(4) == "晚上", F.lit(False)).alias("i_late"))
     seconds = F.col("i_h") * 3600 + n(6) * 60 + n(7)
-    valid = F.col("i_many") & (n(1) > 0) & (n(6) < 60) & (n(7) < 60) & (seconds <= 86400)
+    valid = F.col("i_many") & (n(1) > 0) & (n(6) < 60) & (n(7) < 60) & (seconds <= F.when(F.col("i_late"), 105_000).otherwise(86400))
     clock = F.col("i_d").cast("bigint") * 86_400_000_000 + seconds.cast("bigint") * 1_000_000 + F.coalesce("i_f", F.lit(0))
     serial = F.round((F.col("i_c").try_cast("decimal(20,12)") + SERIAL_ZERO) * 86400, 0).cast("bigint") * 1_000_000
     fixed = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])

@@ -31,29 +31,38 @@ def lifetimes(parents: DataFrame, purges: DataFrame | None = None) -> DataFrame:
 
 
 def classified(refs: DataFrame, lives: DataFrame) -> DataFrame:
-    """Each reference with a status: `present`, `late` (its parent is there but was created after it), `deleted` (purged and not
-    back) or `missing` (never seen).
+    """Each reference with a status by its time and its parent's validity.
+
+    A parent that is there is valid from its birth on (always, if that is unknown): the reference is `present`, or `late` if it
+    was made before. One that is not there was valid until its purge: the reference is `deleted` if it was made before that
+    or at an unknown time, `deleted_before` if it was made when the parent was gone already, and `missing` if the parent was
+    never seen. A parent that was purged and came back is there; its birth is that of the row that came back.
 
     References and parents are partitioned by (target, key), sorted and merged in one pass: a sort-merge join, whose hot
     partitions adaptive execution splits, as the reference side of a left join may be split. Parents are one row per key.
 
     Edge cases: a null key is no reference; an empty parent table makes every reference missing; copies of a row give
-    the same status each and are folded by `orphans`; other columns of the inputs are never read.
+    the same status each and are folded by `broken`; other columns of the inputs are never read.
     """
     joined = refs.join(lives.hint("merge"), ["target", "key"], "left")
     status = (
         F.when(F.col("alive") == 1, F.when(F.col("born") > F.col("at"), "late").otherwise("present"))
-        .when(F.col("alive") == 0, "deleted")
+        .when(F.col("alive") == 0, F.when(F.col("at") >= F.col("purged_at"), "deleted_before").otherwise("deleted"))
         .otherwise("missing")
     )
     return joined.select("ref_table", "row_id", "target", "key", "at", status.alias("status"))
 
 
+def broken(found: DataFrame) -> DataFrame:
+    """The references that are not present, once per referring row."""
+    return found.filter("status != 'present'").dropDuplicates(["ref_table", "row_id", "target"])
+
+
 def orphans(refs: DataFrame, lives: DataFrame) -> DataFrame:
-    """The references without a parent, once per referring row: (ref_table, row_id, target, key, at, status)."""
-    return classified(refs, lives).filter(F.col("status").isin("missing", "deleted")).dropDuplicates(["ref_table", "row_id", "target"])
+    """The references without a parent, once per referring row: (ref_table, row_id, target, key, at, status). A late parent is there."""
+    return broken(classified(refs, lives).filter("status != 'late'"))
 
 
 def per_period(found: DataFrame) -> DataFrame:
-    """Orphans counted per table, target, month and status; `period` is null where the row's time can't be read."""
+    """References counted per table, target, month and status; `period` is null where the row's time can't be read."""
     return found.groupBy("ref_table", "target", F.date_format("at", "yyyy-MM").alias("period"), "status").agg(F.count(F.lit(1)).alias("rows"))

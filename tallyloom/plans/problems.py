@@ -34,17 +34,39 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(p4_references(spark, d), p4_lifetimes(spark, d)).select(F.col("ref_table").alias("table_name"), "row_id")
 
 
-def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans per table, target, month of the referring row and kind (missing or deleted). Times of facts are normalised as in p2."""
-    refs = p4_references(spark, d).drop("at")
-    born = p2_instants(spark, d).filter("table_name = 'fact'").select(F.lit("fact").alias("ref_table"), F.col("row_key").try_cast("bigint").alias("row_id"), F.timestamp_micros("utc_us").alias("at"))
-    for name, key in (("entity_name", "name_id"), ("credit_case", "case_id")):
-        born = born.unionAll(table(spark, d, name, key, "created_at").select(F.lit(name), key, iso_instant(F.col("created_at"))))
-    done = table(spark, d, "fact", "fact_id", "created_at").select(F.lit("fact"), "fact_id", iso_instant(F.when(F.col("created_at").rlike("^[0-9]{4}-.*Z$"), F.col("created_at"))))
-    found = orphans.orphans(refs.withColumn("at", F.lit(None).cast("timestamp")), p4_lifetimes(spark, d)).drop("at")
-    at = born.unionAll(done).groupBy("ref_table", "row_id").agg(F.max("at").alias("at"))
-    return orphans.per_period(found.join(at, ["ref_table", "row_id"], "left"))
+def p4_times(spark: SparkSession, d: str) -> DataFrame:
+    """(ref_table, row_id, at): when each row of the four tables was made, of facts and source files as p2 reads it."""
+    read = p2_instants(spark, d).filter("table_name in ('fact', 'source_file') and utc_us is not null").select(F.col("table_name").alias("ref_table"), F.col("row_key").try_cast("bigint").alias("row_id"), F.timestamp_micros("utc_us").alias("at"))
+    for name, key, text in (("fact", "fact_id", "created_at"), ("source_file", "source_id", "ingested_at"), ("entity_name", "name_id", "created_at"), ("credit_case", "case_id", "created_at")):
+        done = F.when(F.col(text).rlike("^[0-9]{4}-[0-9-]*T[0-9:.]*Z$"), F.col(text))
+        read = read.unionAll(table(spark, d, name, key, text).filter(done.isNotNull()).select(F.lit(name), F.col(key), iso_instant(done)))
+    return read.groupBy("ref_table", "row_id").agg(F.max("at").alias("at"))
+
 
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """References whose target is missing, deleted or late, per table, target, month of the referring row and status."""
+    times = cut(p4_times(spark, d))
+    refs = p4_references(spark, d).drop("at").join(times, ["ref_table", "row_id"], "left").select("ref_table", "row_id", "target", "key", "at")
+    files = times.filter("ref_table = 'source_file'").select(F.lit("source_file").alias("target"), F.col("row_id").alias("key"), F.col("at").alias("came"))
+    lives = p4_lifetimes(spark, d).join(files, ["target", "key"], "left").withColumn("born", F.coalesce("born", "came")).drop("came")
+    return orphans.per_period(orphans.broken(orphans.classified(refs, lives)))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """As p4_report, of the references to entities, whose times stand in one notation."""
+    refs = p4_references(spark, d).filter("target = 'entity'")
+    return orphans.per_period(orphans.broken(orphans.classified(refs, p4_lifetimes(spark, d))))
+
+
+P4_ENTITIES = """
+with lives as (select entity_id as k, min(cast(created_at as timestamptz)) as born from entity where entity_id is not null group by 1),
+purged as (select row_id as k, max(cast(purged_at as timestamptz)) as p from purge_log where table_name = 'entity' group by 1),
+refs as (select distinct 'entity_name' as ref_table, name_id as id, entity_id as k, cast(created_at as timestamptz) as made from entity_name where entity_id is not null
+  union all select distinct 'credit_case', case_id, entity_id, cast(created_at as timestamptz) as made from credit_case where entity_id is not null),
+said as (select ref_table, made, case when l.k is not null and born > made then 'late' when l.k is not null then 'present' when u.k is null then 'missing' when made >= p then 'deleted_before' else 'deleted' end as status
+  from refs left join lives l using (k) left join purged u using (k))
+select ref_table, 'entity' as target, strftime(made at time zone 'UTC', '%Y-%m') as period, status, count(*) as rows from said where status != 'present' group by 1, 2, 3, 4
+"""
 
 P4_FOUND = """
 select distinct 'fact' as table_name, fact_id as row_id from fact where source_id is not null and not exists (select 1 from source_file s where s.source_id = fact.source_id)
@@ -108,8 +130,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_timeline(spark: SparkSession, d: str) -> DataFrame:
     """All attributes of each entity side by side, split at every change."""
-    out = history.combined(history.versions(p7_events(spark, d)))
-    return out.select("entity_id", "valid_from", "valid_to", F.size("attrs").alias("attrs"), F.to_json("attrs").alias("state"))
+    return history.combined(history.versions(p7_events(spark, d)))
 
 
 _SQL_FORM = r"""regexp_replace(translate({c}, '""" + "".join(map(chr, range(0xFF01, 0xFF5F))).replace("'", "''") + "￥￡" + "', '" + "".join(map(chr, range(0x21, 0x7F))).replace("'", "''").replace("{", "{{").replace("}", "}}") + "¥£" + r"""'), '[\s\x{{3000}}\x{{200b}}\x{{a0}}]', '', 'g')"""
@@ -127,8 +148,19 @@ w as (select *, lead(f) over (partition by entity_id, attr order by g) as x, cou
 select entity_id, attr, strftime(f, '%Y-%m-%d') as valid_from, coalesce(strftime(nullif(least(coalesce(x, date '9999-12-31'), t), date '9999-12-31'), '%Y-%m-%d'), '') as valid_to from w where n >= 2
 """
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p7_found": p7_found, "p7_timeline": p7_timeline}
-SQL = {"p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+_P7_VERSIONS = P7_FOUND[: P7_FOUND.index("select entity_id, attr, strftime")].replace("select entity_id, attr, g, min(f) as f,", "select entity_id, attr, g, any_value(v) as v, min(f) as f,")
+P7_TIMELINE = _P7_VERSIONS + """,
+y as (select entity_id, attr, v, f, nullif(least(coalesce(x, date '9999-12-31'), t), date '9999-12-31') as t from w),
+edges as (select entity_id, f as e from y union select entity_id, t from y where t is not null),
+spans as (select entity_id, e as lo, lead(e) over (partition by entity_id order by e) as hi from edges),
+held as (select entity_id, lo, hi, count(*) as attrs, string_agg(attr || '=' || v, chr(10) order by attr) as state from spans join y using (entity_id) where f <= lo and coalesce(t, date '9999-12-31') > lo group by 1, 2, 3),
+marked as (select *, case when lag(state) over q = state and lag(hi) over q = lo then 0 else 1 end as n from held window q as (partition by entity_id order by lo)),
+runs as (select *, sum(n) over (partition by entity_id order by lo) as run from marked)
+select entity_id, min(lo) as valid_from, max_by(hi, lo) as valid_to, any_value(attrs) as attrs, any_value(state) as state from runs group by entity_id, run
+"""
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_entities": p4_entities, "p6_found": p6_found, "p7_found": p7_found, "p7_timeline": p7_timeline}
+SQL = {"p4_found": P4_FOUND, "p4_entities": P4_ENTITIES, "p7_timeline": P7_TIMELINE, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
 
 # ---- p5: quantities in different units
 
@@ -177,11 +209,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_zones(spark: SparkSession, d: str) -> DataFrame:
-    """Each desk's zone, registered or estimated, and how many records it puts out of order."""
+    """Each desk's zone, registered or estimated, how many records it puts out of order, and whether the estimate alone agrees."""
     sites = p2_sites(spark, d).groupBy("site").agg(F.min("zone").alias("zone"), F.min("day_order").alias("day_order"))
     read = cut(read_instants(p2_records(spark, d).join(sites.select("site", "day_order"), "site", "left"), "text", "day_order"))
-    names = [r[0] for r in sites.select("zone").distinct().limit(instants.MOST_ZONES).collect()]
-    return instants.choose_zones(instants.zone_histories(read, names), sites)
+    chosen = instants.choose_zones(instants.zone_histories(read, instants.listed_zones(sites)), sites)
+    return chosen.withColumn("agrees", F.col("zone") == F.col("estimate"))
 
 
 QUERIES |= {"p2_found": p2_found, "p2_zones": p2_zones}

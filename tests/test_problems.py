@@ -34,6 +34,14 @@ def test_orphans_missing_deleted_late(spark):
     assert rows(orphans.orphans(refs, lives).select("row_id", "status")) == [(3, "deleted"), (4, "missing")]
 
 
+def test_references_by_time(spark):
+    at = lambda y: datetime(y, 1, 1)
+    refs = orphans.references(spark.createDataFrame([(1, 12, at(2021)), (2, 12, at(2023)), (3, 10, at(2017)), (4, 10, at(2021)), (5, 10, None)], "id bigint, e bigint, at timestamp"), "t", "id", "e", "entity", F.col("at"))
+    purges = spark.createDataFrame([("entity", 12, at(2022)), ("entity", 12, at(2020)), ("entity", 10, at(2018))], "target string, key bigint, purged_at timestamp")
+    found = orphans.broken(orphans.classified(refs, orphans.lifetimes(parents(spark, [10]), purges)))
+    assert rows(found.select("row_id", "status")) == [(1, "deleted"), (2, "deleted_before"), (3, "late")]
+
+
 def test_orphans_empty_sides(spark):
     none = parents(spark, [])
     refs = orphans.references(spark.createDataFrame([(1, 10)], "id bigint, e bigint"), "t", "id", "e", "entity")
@@ -95,7 +103,7 @@ def test_versions_coalesce_and_end(spark):
 
 def test_combined_splits_and_joins(spark):
     data = [(1, "a", "x", "2020-01-01", None, "k", 1, ""), (1, "b", "y", "2020-02-01", "2020-03-01", "k", 2, ""), (1, "b", "y", "2020-03-01", "2020-04-01", "k", 3, "")]
-    got = [(r.valid_from, r.valid_to, dict(r.attrs)) for r in history.combined(history.versions(log(spark, data))).orderBy("valid_from").collect()]
+    got = [(r.valid_from, r.valid_to, dict(x.split("=") for x in r.state.split("\n"))) for r in history.combined(history.versions(log(spark, data))).orderBy("valid_from").collect()]
     assert got == [(date(2020, 1, 1), date(2020, 2, 1), {"a": "x"}), (date(2020, 2, 1), date(2020, 4, 1), {"a": "x", "b": "y"}), (date(2020, 4, 1), None, {"a": "x"})]
 
 
@@ -179,6 +187,8 @@ TIMES = [
     ("2022-05-29 24:00:00", "l", "2022-05-30T00:00:00"), ("2023-12-14 02:27:30.142643", "l", "2023-12-14T02:27:30.142643"), ("20231026020802", "l", "2023-10-26T02:08:02"), ("2023-08-02T16:02", "l", "2023-08-02T16:02:00"), ("2022年7月23日 0时37分29秒", "l", "2022-07-23T00:37:29"), ("2021/8/22 5:02", "l", "2021-08-22T05:02:00"),
     ("2021.08.22 09:03:19", "l", "2021-08-22T09:03:19"), ("２０２３－０２－０１　００：２２：２２", "l", "2023-02-01T00:22:22"), ("2022年03月24日下午3:06", "l", "2022-03-24T15:06:00"), ("2021年06月28日上午12:16", "l", "2021-06-28T00:16:00"), ("2021年06月28日下午12:16", "l", "2021-06-28T12:16:00"), ("44385.763646", "l", "2021-07-08T18:19:39"),
     ("26/10/2023 19:19:32", "l", "2023-10-26T19:19:32"), ("04.12.2022 02:16:54", "l", "2022-12-04T02:16:54"), ("11-Jul-2021 22:22:00", "l", "2021-07-11T22:22:00"), ("Sun 7 Mar 2021, 3.01am", "l", "2021-03-07T03:01:00"), ("Sun 7 Mar 2021, 12.01pm", "l", "2021-03-07T12:01:00"), ("2021-08-22 05:41:09 CST", "l", "2021-08-22T05:41:09"), ("\t2021/1/17 18:22　", "l", "2021-01-17T18:22:00"),
+    ("2021年06月28日中午11:30", "l", "2021-06-28T11:30:00"), ("2021年06月28日中午12:30", "l", "2021-06-28T12:30:00"), ("2021年06月28日中午1:30", "l", "2021-06-28T13:30:00"), ("2021年06月28日晚上8:30", "l", "2021-06-28T20:30:00"), ("2021年06月28日晚上12:30", "l", "2021-06-29T00:30:00"),
+    ("2021年06月28日凌晨12:30", "l", "2021-06-28T00:30:00"), ("2021年06月28日晚上21:05", "l", "2021-06-28T21:05:00"), ("2021年06月28日下午25:05", "", None),
     ("2021-04-21T13:50:45.149Z", "d", None), (" 2023-12-14T07:11:14Z", "d", None), ("0000-00-00 00:00:00", "", None), ("N/A", "", None), ("昨日下午", "", None), ("", "", None), (None, "", None), ("2021-02-30 10:00:00", "", None), ("2021-01-01 25:00:00", "", None), ("2021-01-01 10:00:00 XYZ", "", None), ("x" * 200_000, "", None), ("20211301000000", "", None),
 ]
 
