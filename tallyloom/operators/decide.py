@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -25,24 +27,68 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else round(SequenceMatcher(None, x, y).ratio() * 0.8, 3) for x, y in zip(a, b, strict=True)])
 
 
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(form, token, length): each character of a form with how many of its kind stand before it."""
+    for batch in batches:
+        forms, tokens, lengths = [], [], []
+        for form in batch.column(0).to_pylist():
+            seen: dict[str, int] = {}
+            for c in form:
+                seen[c] = seen.get(c, 0) + 1
+                forms.append(form)
+                tokens.append(f"{c}{seen[c]}")
+                lengths.append(len(form))
+        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(tokens, pa.string()), pa.array(lengths, pa.int32())], ["form", "token", "length"])
+
+
+def _alike(l: DataFrame, k: DataFrame) -> DataFrame:
+    """(lf, kf) of forms that may have half of 0.45 / 0.8 of their characters in common: a prefix-filtered join on characters, the rarest first.
+
+    A score of PROPOSE takes matching blocks of r = PROPOSE / 0.8 / 2 of both lengths, so the lengths differ at most by the
+    factor (1 - r) / r and a form keeps at least r * (1 + r / (1 - r)) of its characters.
+    """
+    r = PROPOSE / 0.8 / 2
+    each = lambda df: df.mapInArrow(_characters, "form string, token string, length int")
+    a, b = each(l.select("lf").distinct()), each(k.select("kf").distinct())
+    rare = a.select("token").unionAll(b.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy("form").orderBy("df", "token")
+        keep = F.col("length") - F.ceil(F.col("length") * r / (1 - r) - 1e-9) + 1
+        return df.join(rare, "token").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select(F.col("form").alias(name), "token", F.col("length").alias(name + "_length"))
+
+    met = prefix(a, "lf").join(prefix(b, "kf"), "token").filter(F.least("lf_length", "kf_length") >= r * (F.col("lf_length") + F.col("kf_length")) - 1e-9)
+    return met.select("lf", "kf").distinct()
+
+
+def _within(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b) of forms where the inner one stands in the outer one: the outer's pieces of every length that an inner one has meet it as equals."""
+    i, o = inner.select(a).distinct(), outer.select(b).distinct()
+    sizes = i.select(F.length(a).alias("size")).distinct()
+    pieces = o.join(sizes, F.col("size") <= F.length(b)).select(b, F.explode(F.transform(F.sequence(F.lit(1), F.length(b) - F.col("size") + 1), lambda at: F.call_function("substring", F.col(b), at, F.col("size")))).alias(a))
+    return pieces.join(i, a).select(a, b).distinct()
+
+
 def scored(labels: DataFrame, keys: DataFrame, synonyms: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(label, key, score) of labels and keys from PROPOSE on: 1 equal, 0.9 synonyms, 0.82 one within the other, else by similarity.
 
-    labels: (label), keys: (key), synonyms: (name, word). A score of PROPOSE needs a common character, so labels and keys meet by
-    their characters, and by the pairs of synonyms; no label meets every key.
+    labels: (label), keys: (key), synonyms: (name, word). They meet as synonyms, as pieces of each other, and by the characters
+    that a score of PROPOSE needs in common, the rarest first; no label meets every key.
     """
     l = labels.select("label", label_form(F.col("label")).alias("lf")).filter("lf != ''").distinct()
     k = keys.select("key", label_form(F.col("key")).alias("kf")).filter("kf != ''").distinct()
     syn = synonyms.select(label_form(F.col("name")).alias("nf"), label_form(F.col("word")).alias("wf")).distinct()
     both_ways = syn.unionAll(syn.select("wf", "nf")).unionAll(syn.alias("x").join(syn.alias("y"), "nf").select(F.col("x.wf").alias("nf"), F.col("y.wf").alias("wf")))
     pairs = both_ways.distinct().select(F.col("nf").alias("lf"), F.col("wf").alias("kf"), F.lit(True).alias("syn"))
-    chars = lambda df, c: df.withColumn("ch", F.explode(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))))
-    met = chars(l, "lf").join(chars(k, "kf"), "ch").select("label", "lf", "key", "kf")
-    both = met.unionByName(l.join(pairs, "lf").join(k, "kf").select("label", "lf", "key", "kf")).distinct().join(pairs, ["lf", "kf"], "left")
+    met = _within(l, k, "lf", "kf").unionByName(_within(k, l, "kf", "lf"))
+    if fuzzy:
+        met = met.unionByName(_alike(l, k))
+    both = met.unionByName(l.select("lf").join(pairs, "lf").join(k.select("kf"), "kf").select("lf", "kf")).distinct().join(pairs, ["lf", "kf"], "left")
     rule = F.when(F.col("lf") == F.col("kf"), 1.0).when(F.col("syn"), 0.9).when(F.col("lf").contains(F.col("kf")) | F.col("kf").contains(F.col("lf")), 0.82)
-    both = both.select("label", "key", "lf", "kf", rule.alias("rule"))
+    both = both.select("lf", "kf", rule.alias("rule"))
     score = F.coalesce("rule", similarity(F.when(F.col("rule").isNull(), F.col("lf")), F.col("kf"))) if fuzzy else F.coalesce("rule", F.lit(0.0))
-    return both.select("label", "key", score.alias("score")).filter(F.col("score") >= PROPOSE)
+    found = both.select("lf", "kf", score.alias("score")).filter(F.col("score") >= PROPOSE)
+    return found.join(l, "lf").join(k, "kf").select("label", "key", "score")
 
 
 def best_candidates(scores: DataFrame, n: int = 4) -> DataFrame:

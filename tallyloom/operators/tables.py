@@ -100,21 +100,24 @@ def unify_categories(df: DataFrame, column: str, order: str) -> DataFrame:
     return joined.withColumn(column, F.col("fold_first")).drop("fold_key", "fold_first")
 
 
-def fences(df: DataFrame, column: str) -> DataFrame:
-    """One row: the quartile fences of a column and whether it has outliers to speak of (five values, a quartile range)."""
-    q = df.agg(F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"), F.countDistinct(column).alias("n"))
-    r = F.col("q3") - F.col("q1")
-    return q.select((F.col("q1") - 1.5 * r).alias("low"), (F.col("q3") + 1.5 * r).alias("high"), ((F.col("n") >= 5) & (r > 0)).alias("usable"))
-
+def fences(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, low, high, usable): the quartile fences of columns and whether there are outliers to speak of (five values, a quartile range)."""
+    from tallyloom.operators.profile import counted, quantiles
 
-def mark_outliers(df: DataFrame, column: str, clip: bool = False) -> DataFrame:
-    """Adds `<column>_is_outlier`, and brings outliers to the fence if asked to. The fences come as three literals from one aggregation."""
-    f = fences(df, column).first()
-    c = F.col(column)
-    out = ((c < f["low"]) | (c > f["high"])) & F.lit(bool(f["usable"])) if f["low"] is not None else F.lit(False)
-    df = df.withColumn(f"{column}_is_outlier", F.coalesce(out, F.lit(False)))
-    if clip and f["usable"]:
-        df = df.withColumn(column, F.when(c < f["low"], F.lit(f["low"])).when(c > f["high"], F.lit(f["high"])).otherwise(c))
+    q = quantiles(counted(df, columns), (0.25, 0.75)).withColumns({"q1": F.get("q", F.lit(0)), "q3": F.get("q", F.lit(1))})
+    r = F.col("q3") - F.col("q1")
+    return q.select("column", (F.col("q1") - 1.5 * r).alias("low"), (F.col("q3") + 1.5 * r).alias("high"), ((F.col("distinct_values") >= 5) & (r > 0)).alias("usable"))
+
+
+def mark_outliers(df: DataFrame, *columns: str, clip: bool = False) -> DataFrame:
+    """Adds `<column>_is_outlier` for each column, and brings outliers to the fence if asked to. The fences of all columns come as literals, one row each."""
+    found = {r["column"]: r for r in fences(df, list(columns)).filter("usable").collect()}
+    for column in columns:
+        c, f = F.col(column), found.get(column)
+        out = (c < f["low"]) | (c > f["high"]) if f else F.lit(False)
+        df = df.withColumn(f"{column}_is_outlier", F.coalesce(out, F.lit(False)))
+        if clip and f:
+            df = df.withColumn(column, F.when(c < f["low"], F.lit(f["low"])).when(c > f["high"], F.lit(f["high"])).otherwise(c))
     return df
 
 
@@ -137,12 +140,15 @@ def clean(df: DataFrame, order: str | None = None, outliers: str = "flag", renam
     if order:
         left = [c for c, k in kinds.items() if k == "text" and c != order]
         if left:
-            sizes = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(left)]).first()
+            # the sketch only says which columns are far from the bound; the others are counted
+            rough = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(left)]).first()
+            left = [c for c, n in zip(left, rough, strict=True) if n <= 400]
+            sizes = df.agg(*[F.countDistinct(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(left)]).first() if left else []
             for c, n in zip(left, sizes, strict=True):
                 if 2 <= n <= 200:
                     df = unify_categories(df, c, order)
     if outliers != "none":
-        for c, t in df.dtypes:
-            if t in ("double", "float", "int", "bigint") and c != order:
-                df = mark_outliers(df, c, outliers == "clip")
+        numbers = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint") and c != order]
+        if numbers:
+            df = mark_outliers(df, *numbers, clip=outliers == "clip")
     return df.dropDuplicates().withColumnsRenamed(rename or {}).drop(*(drop or []))
