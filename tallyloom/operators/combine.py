@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,16 @@ def changed(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str] | No
 def change_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(column, changed): how many rows changed in each column."""
     return changed(a, b, keys).groupBy("column").agg(F.count(F.lit(1)).alias("changed"))
+
+
+def column_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(column, side) of columns that only one of two tables has; no row is read."""
+    rows = [(c, "a") for c in a.columns if c not in b.columns] + [(c, "b") for c in b.columns if c not in a.columns]
+    return a.sparkSession.createDataFrame(rows, "column string, side string")
+
+
+def change_samples(a: DataFrame, b: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
+    """The first n changed cells of each column, by key, with how many there are."""
+    cells = changed(a, b, keys)
+    own = Window.partitionBy("column")
+    return cells.withColumns({"changed": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy(*keys))}).filter(F.col("place") <= n)

@@ -263,3 +263,30 @@ def with_role(roles: DataFrame, entities: DataFrame, role: str) -> DataFrame:
 
 def unassigned(facts: DataFrame) -> DataFrame:
     return live(facts).filter("entity_id is null")
+
+
+def ordered(facts: DataFrame, by: str = "key") -> DataFrame:
+    """Live facts in order of key, entity, case, batch or confidence, the surest first; a missing confidence counts as 1."""
+    first = {"entity": F.col("entity_id"), "case": F.col("case_id"), "batch": F.col("batch_no"), "confidence": F.desc(F.coalesce("confidence", F.lit(1.0)))}.get(by, F.col("key"))
+    return live(facts).orderBy(first, "fact_id")
+
+
+def discarded(rows: DataFrame, at: Column, actor: str = "user") -> DataFrame:
+    """(batch_no, event_type, target, payload, actor, at): what is put aside leaves an event and no fact. rows: (batch_no, key, value, reason)."""
+    payload = F.to_json(F.struct("key", "value", "reason"))
+    return rows.select("batch_no", F.lit("fact_discarded").alias("event_type"), F.col("key").alias("target"), payload.alias("payload"), F.lit(actor).alias("actor"), at.alias("at"))
+
+
+def more_counts(facts: DataFrame, entities: DataFrame, cases: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(what, n): further counts of a store, one aggregation a table; each delivered row counts once."""
+    n = lambda key, when=None: F.countDistinct(F.col(key) if when is None else F.when(when, F.col(key)))
+    parts = [
+        cases.agg(n("case_id").alias("cases")), entities.agg(n("entity_id", F.col("identity_incomplete") == 1).alias("entities_without_key")),
+        facts.agg(n("fact_id", F.col("superseded_by").isNull() & (F.col("value") != "")).alias("facts_with_value"), n("fact_id", F.col("superseded_by").isNotNull()).alias("facts_superseded")),
+        decisions.agg(n("fingerprint").alias("decisions"), n("fingerprint", F.col("action") == "blank").alias("decisions_blank"), n("run_id").alias("runs")),
+    ]
+    out = None
+    for df in parts:
+        rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("bigint").alias("n")) for c in df.columns])))
+        out = rows if out is None else out.unionAll(rows)
+    return out

@@ -74,3 +74,15 @@ def stale(files: DataFrame, at: str, days: int) -> DataFrame:
 def human_bytes(c: Column) -> Column:
     unit = F.when(c < 1024, 0).when(c < 1024**2, 1).when(c < 1024**3, 2).when(c < 1024**4, 3).otherwise(4)
     return F.concat(F.format_number(c / F.pow(F.lit(1024.0), unit), 1), F.element_at(F.array(*map(F.lit, (" B", " KB", " MB", " GB", " TB"))), unit + 1))
+
+
+def extremes(files: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """The n oldest, newest or largest files (path, bytes, modified), the path deciding among equals."""
+    first = {"oldest": F.asc("modified"), "newest": F.desc("modified"), "largest": F.desc("bytes")}[by]
+    return files.filter("modified is not null" if by != "largest" else "bytes is not null").orderBy(first, "path").limit(n)
+
+
+def listing(files: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest files with `truncated`, whether there are more than `limit`. One more than the limit is read to tell."""
+    some = files.orderBy(F.desc("modified"), "path").limit(limit + 1).withColumn("place", F.row_number().over(Window.orderBy(F.desc("modified"), "path")))
+    return some.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > limit).filter(F.col("place") <= limit).drop("place")

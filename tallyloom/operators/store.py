@@ -19,11 +19,23 @@ def new_sources(incoming: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def resolved_entities(wanted: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, entity_id, is_new) of wanted names: the entity that has exactly that name, never a similar one; null where one must be made."""
-    exact = names.filter("entity_id is not null").groupBy("name").agg(F.min("entity_id").alias("entity_id"))
+    """(name, entity_id, is_new) of wanted names: the entity that has exactly that name, never a similar one; null where one must be made.
+
+    Of several entities the one whose present name it is counts, then the one named first (by name_id); without these columns
+    the least.
+    """
+    rank = F.struct(F.when(F.col("name_kind") == "现用名", 0).otherwise(1), "name_id", "entity_id") if {"name_kind", "name_id"} <= set(names.columns) else F.col("entity_id")
+    exact = names.filter("entity_id is not null").groupBy("name").agg(F.min_by("entity_id", rank).alias("entity_id"))
     return wanted.select("name").filter("name is not null").distinct().join(exact, "name", "left").withColumn("is_new", F.col("entity_id").isNull())
 
 
+def unique_entities(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, entity_id, known) of wanted names: the one entity that has exactly that name; null where several have it, of which none is taken."""
+    exact = names.filter("entity_id is not null").groupBy("name").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+    found = wanted.select("name").filter("name is not null").distinct().join(exact, "name", "left")
+    return found.select("name", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("entity_id"), F.col("lo").isNotNull().alias("known"))
+
+
 def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The stored rows with the incoming ones put in by key, the latest of them winning; columns as stored."""
     last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stored.columns if c not in keys]), order).alias("r"))
@@ -89,6 +101,77 @@ def delivered_fields(ops: DataFrame) -> DataFrame:
     return fields.join(out, "run_id", "left_semi").select("run_id", F.col("target").alias("field")).distinct()
 
 
+def artifacts(ops: DataFrame, entities: DataFrame, templates: DataFrame) -> DataFrame:
+    """What runs brought out (ops of kind artifact: op_id, run_id, entity_id, template_id) with the entity's type and the template's name, where known."""
+    e = entities.groupBy("entity_id").agg(F.min("entity_type").alias("entity_type"))
+    t = templates.groupBy("template_id").agg(F.min("name").alias("template_name"))
+    return ops.filter("kind = 'artifact'").join(e, "entity_id", "left").join(t, "template_id", "left")
+
+
+def latest_artifacts(ops: DataFrame) -> DataFrame:
+    """(template_id, op_id, run_id): the newest artifact of each template."""
+    return ops.filter("kind = 'artifact' and template_id is not null").groupBy("template_id").agg(F.max_by(F.struct("op_id", "run_id"), "op_id").alias("a")).select("template_id", "a.op_id", "a.run_id")
+
+
+def representatives(facts: DataFrame, names: DataFrame, relation: str, identity: list[str]) -> DataFrame:
+    """(entity_id, person_id, key, value): a company's newest fact `relation` names a person; the person's newest identity facts are theirs.
+
+    Two equi-joins over current facts; a name that several entities have tells nobody.
+    """
+    from tallyloom.operators.facts import current
+
+    now = current(facts)
+    who = names.filter("entity_id is not null").groupBy("name").agg(F.min("entity_id").alias("person_id"), F.max("entity_id").alias("hi")).filter("person_id = hi").drop("hi")
+    named = now.filter((F.col("key") == relation) & F.col("entity_id").isNotNull()).select("entity_id", F.col("value").alias("name")).join(who, "name").select("entity_id", "person_id")
+    papers = now.filter(F.col("key").isin(*identity) & F.col("entity_id").isNotNull()).select(F.col("entity_id").alias("person_id"), "key", "value")
+    return named.join(papers, "person_id").select("entity_id", "person_id", "key", "value")
+
+
+def next_runs(ops: DataFrame, batches: DataFrame) -> DataFrame:
+    """(batch_no, run_id): the next run's name of each batch, `<batch>-R<n>`, n the first after the number of runs that no op has yet."""
+    names = ops.filter("run_id is not null").select("batch_no", F.regexp_extract("run_id", r"-R(\d+)$", 1).try_cast("bigint").alias("n"), F.col("kind") == "run").toDF("batch_no", "n", "is_run")
+    counts = names.groupBy("batch_no").agg(F.count_if("is_run").alias("runs"), F.countDistinct("n").alias("used"))
+    tries = batches.select("batch_no").distinct().join(counts, "batch_no", "left").fillna(0)
+    tries = tries.withColumn("n", F.explode(F.sequence(F.col("runs") + 1, F.col("runs") + F.col("used") + 1)))
+    free = tries.join(names.select("batch_no", "n").distinct(), ["batch_no", "n"], "left_anti").groupBy("batch_no").agg(F.min("n").alias("n"))
+    return free.select("batch_no", F.concat("batch_no", F.lit("-R"), F.col("n").cast("string")).alias("run_id"))
+
+
+def run_numbers(runs: DataFrame) -> DataFrame:
+    """(batch_no, template_id, run): runs of a batch numbered by the order of their templates."""
+    return runs.select("batch_no", "template_id").distinct().withColumn("run", F.dense_rank().over(Window.partitionBy("batch_no").orderBy("template_id")))
+
+
+def newest(df: DataFrame, order: str, limit: int = 10) -> DataFrame:
+    """The newest rows of a section, between 1 and 100 of them."""
+    return df.orderBy(F.desc(order)).limit(max(1, min(limit, 100)))
+
+
+def new_contract_fields(fields: DataFrame, known: DataFrame) -> DataFrame:
+    """(key): keys of facts that no contract lists yet."""
+    return fields.select("key").filter("key is not null and key != ''").distinct().join(known.select("key"), "key", "left_anti")
+
+
+def migrated(facts: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows as the new store has them, diverted rows with the reason): facts of an older store, in fixed steps.
+
+    batches: (session, batch_no) as quality.batch_map has it. A row without a key or of an unknown batch is diverted, as are
+    computed ones without formula or inputs; unknown statuses become `suspect`, a blank value `missing`; a source kind that
+    is unknown is `source` if there is a source, else diverted.
+    """
+    rows = facts.join(batches.select(F.col("session").alias("batch_was"), F.col("batch_no").alias("new_batch")), F.col("batch_no") == F.col("batch_was"), "left").drop("batch_was")
+    kind = F.when(F.col("source_kind").isin("source", "computed", "user"), F.col("source_kind")).when(F.col("source_id").isNotNull(), "source")
+    status = F.when(blank(F.col("value")), "missing").when(F.col("status").isin("ok", "missing", "suspect"), F.col("status")).otherwise("suspect")
+    rows = rows.withColumns({"new_kind": kind, "new_status": status})
+    reason = (
+        F.when(blank(F.col("key")), "no key").when(F.col("new_batch").isNull(), "unknown batch").when(F.col("new_kind").isNull(), "unknown origin")
+        .when((F.col("new_kind") == "computed") & (F.col("formula").isNull() | F.col("inputs").isNull()), "computed without formula")
+    )
+    rows = rows.withColumn("reason", reason)
+    good = rows.filter("reason is null").select("fact_id", F.col("new_batch").alias("batch_no"), "key", "value", F.col("new_status").alias("status"), F.col("new_kind").alias("source_kind"))
+    return good, rows.filter("reason is not null").select("fact_id", "reason")
+
+
 def role_aliases(facts: DataFrame, roles: DataFrame) -> DataFrame:
     """(alias, fact_id, value, ambiguous) of facts named by their holder's role: 借款人X, and 保证人N X where evidence tells the number.
 

@@ -111,12 +111,6 @@ def profile_repeated_rows(spark: SparkSession, d: str) -> DataFrame:
     return profile.repeated_rows(table(spark, d, "fact"))
 
 
-@query("""select a, b, r from (select 'l_quantity' as a, 'l_extendedprice' as b, round(corr(l_quantity, l_extendedprice), 3) as r from lineitem union all select 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 3) from lineitem
- union all select 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 3) from lineitem) where abs(r) >= 0.5""")
-def correlations(spark: SparkSession, d: str) -> DataFrame:
-    return profile.correlations(table(spark, d, "lineitem", *_NUMBERS), list(_NUMBERS))
-
-
 _NARROW = "translate({c}, '０１２３４５６７８９．－＋，％　（）：', '0123456789.-+,% ():')"
 _BARE = "regexp_replace(regexp_replace(regexp_replace(trim(" + _NARROW + "), '^\\((.*)\\)$', '\\1'), '%$', ''), '(?i)[¥$€£￥\\s\\x{{3000}}]|RMB|CNY|USD|EUR|GBP', '', 'g')"
 _PARSED = "regexp_full_match(regexp_replace(regexp_replace(" + _BARE + ", '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g'), '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g'), '[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?')"
@@ -167,17 +161,6 @@ def clean_categories(spark: SparkSession, d: str) -> DataFrame:
 _FENCE = "(select quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.75) as q3 from lineitem)"
 
 
-@query(f"""select l_extendedprice < q1 - 1.5 * (q3 - q1) or l_extendedprice > q3 + 1.5 * (q3 - q1) as l_extendedprice_is_outlier, count(*) as "rows" from lineitem, {_FENCE} group by 1""")
-def outlier_flag(spark: SparkSession, d: str) -> DataFrame:
-    return tables.mark_outliers(table(spark, d, "lineitem", "l_extendedprice"), "l_extendedprice").groupBy("l_extendedprice_is_outlier").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query(f"""select round(min(x), 4) as low, round(max(x), 4) as high, round(sum(x), 2) as total from (select least(greatest(l_extendedprice, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) as x from lineitem, {_FENCE})""")
-def outlier_clip(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("l_extendedprice")
-    return tables.mark_outliers(table(spark, d, "lineitem", "l_extendedprice"), "l_extendedprice", clip=True).agg(F.round(F.min(x), 4).alias("low"), F.round(F.max(x), 4).alias("high"), F.round(F.sum(x), 2).alias("total"))
-
-
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_shipdate) as r from lineitem) where r = 1""")
 def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
@@ -392,18 +375,6 @@ def label_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("issue") == "too long").alias("too_long"))
 
 
-@query("""with l as (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as a from documents where text is not null), e as (select doc_id, unnest(range(0, len(a))) as line, unnest(a) as t from l),
-m as (select *, regexp_extract(t, '^\\s*([^:：。；;，,\\n]{1,20}?)\\s*[:：]\\s*(.*?)\\s*$', 1) as a, regexp_extract(t, '^\\s*([^:：。；;，,\\n]{1,20}?)\\s*[:：]\\s*(.*?)\\s*$', 2) as v from e),
-b as (select doc_id, line, t, case when a != '' and v != '' then regexp_replace(a, '[\\s\\x{3000}\\x{85}\\x{a0}]+', '', 'g') end as label, case when a != '' and v != '' and length(v) <= 80 then v end as value from m),
-c as (select *, label is null and length(t) <= 30 and regexp_matches(t, '保证合同|流动资金贷款合同|借款合同|贷款合同|授信合同|授信协议') as title from b), d as (select *, sum(cast(title as int)) over (partition by doc_id order by line) as section from c),
-s as (select *, case when regexp_full_match(label, '(借款人|保证人|抵押人|出质人)([（(]?([0-9一二三四五六七八九十]+)[）)]?)?(名称)?') and value is not null then {'role': regexp_extract(label, '^(借款人|保证人|抵押人|出质人)', 1), 'owner': value} end as subject from d),
-o as (select *, last_value(subject ignore nulls) over (partition by doc_id, section order by line rows between unbounded preceding and current row) as held from s)
-select doc_id, cast(line as int) as line, label, value, held.role as role, held.owner as owner, cast(section as bigint) as section from o where label is not null""")
-def ownership_carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.owned(extract.labelled(extract.lines(table(spark, d, "documents", "doc_id", "text"))))
-    return rows.filter("label is not null").select("doc_id", "line", "label", "value", "role", "owner", "section")
-
-
 @query("""select doc_id, cast(length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) as int) as cjk, cast(len(regexp_extract_all(text, '[A-Za-z]+')) as int) as words, cast(length(text) as int) as chars from documents where text is not null""")
 def text_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", extract.text_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
