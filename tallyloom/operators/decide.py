@@ -41,13 +41,13 @@ def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(tokens, pa.string()), pa.array(lengths, pa.int32())], ["form", "token", "length"])
 
 
-def _alike(l: DataFrame, k: DataFrame) -> DataFrame:
-    """(lf, kf) of forms that may have half of 0.45 / 0.8 of their characters in common: a prefix-filtered join on characters, the rarest first.
+def alike(l: DataFrame, k: DataFrame, ratio: float) -> DataFrame:
+    """(lf, kf) of forms whose ratio of matching blocks may reach `ratio`: a prefix-filtered join on characters, the rarest first.
 
-    A score of PROPOSE takes matching blocks of r = PROPOSE / 0.8 / 2 of both lengths, so the lengths differ at most by the
-    factor (1 - r) / r and a form keeps at least r * (1 + r / (1 - r)) of its characters.
+    The ratio takes matching blocks of r = ratio / 2 of both lengths together, so the lengths differ at most by the factor
+    (1 - r) / r and a form keeps at least r / (1 - r) of its characters. l: (lf), k: (kf).
     """
-    r = PROPOSE / 0.8 / 2
+    r = ratio / 2
     each = lambda df: df.mapInArrow(_characters, "form string, token string, length int")
     a, b = each(l.select("lf").distinct()), each(k.select("kf").distinct())
     rare = a.select("token").unionAll(b.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -82,7 +82,7 @@ def scored(labels: DataFrame, keys: DataFrame, synonyms: DataFrame, fuzzy: bool
     pairs = both_ways.distinct().select(F.col("nf").alias("lf"), F.col("wf").alias("kf"), F.lit(True).alias("syn"))
     met = _within(l, k, "lf", "kf").unionByName(_within(k, l, "kf", "lf"))
     if fuzzy:
-        met = met.unionByName(_alike(l, k))
+        met = met.unionByName(alike(l, k, PROPOSE / 0.8))
     both = met.unionByName(l.select("lf").join(pairs, "lf").join(k.select("kf"), "kf").select("lf", "kf")).distinct().join(pairs, ["lf", "kf"], "left")
     rule = F.when(F.col("lf") == F.col("kf"), 1.0).when(F.col("syn"), 0.9).when(F.col("lf").contains(F.col("kf")) | F.col("kf").contains(F.col("lf")), 0.82)
     both = both.select("lf", "kf", rule.alias("rule"))

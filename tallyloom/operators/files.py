@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 # Categories of files by suffix.
 CATEGORIES = {
-    "文档_Documents": ".doc .docx .pdf .txt .rtf .odt .md .wps .pages", "表格_Spreadsheets": ".xls .xlsx .xlsm .csv .ods .et", "演示_Presentations": ".ppt .pptx .odp .dps .key",
-    "图片_Images": ".jpg .jpeg .png .gif .bmp .tif .tiff .webp .svg .heic", "音频_Audio": ".mp3 .wav .flac .aac .m4a .wma .ogg", "视频_Video": ".mp4 .avi .mkv .mov .wmv .flv .webm .m4v",
-    "压缩包_Archives": ".zip .rar .7z .tar .gz .bz2 .xz", "程序_Code": ".py .js .ts .java .c .cpp .cs .go .rs .php .rb .sh .ps1 .sql .html .css .json .xml .yml .yaml", "可执行_Executables": ".exe .msi .bat .cmd .app .dmg .apk",
-    "字体_Fonts": ".ttf .otf .woff .woff2 .fon", "电子书_eBooks": ".epub .mobi .azw3 .djvu",
+    "文档_Documents": (".doc", ".docx", ".pdf", ".txt", ".rtf", ".odt", ".md", ".wps", ".pages"),
+    "表格_Spreadsheets": (".xls", ".xlsx", ".xlsm", ".csv", ".ods", ".et"),
+    "演示_Presentations": (".ppt", ".pptx", ".odp", ".dps", ".key"),
+    "图片_Images": (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tif", ".tiff", ".webp", ".svg", ".heic"),
+    "音频_Audio": (".mp3", ".wav", ".flac", ".aac", ".m4a", ".wma", ".ogg"),
+    "视频_Video": (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v"),
+    "压缩包_Archives": (".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz"),
+    "程序_Code": (".py", ".js", ".ts", ".java", ".c", ".cpp", ".cs", ".go", ".rs", ".php", ".rb", ".sh", ".ps1", ".sql", ".html", ".css", ".json", ".xml", ".yml", ".yaml"),
+    "可执行_Executables": (".exe", ".msi", ".bat", ".cmd", ".app", ".dmg", ".apk"),
+    "字体_Fonts": (".ttf", ".otf", ".woff", ".woff2", ".fon"),
+    "电子书_eBooks": (".epub", ".mobi", ".azw3", ".djvu"),
 }
 OTHER = "其他_Other"
 
@@ -22,7 +29,7 @@ def suffix(name: Column) -> Column:
 def category(name: Column) -> Column:
     out = None
     for label, ends in CATEGORIES.items():
-        hit = suffix(name).isin(*ends.split())
+        hit = suffix(name).isin(*ends)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(OTHER)
 

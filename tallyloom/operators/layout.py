@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.decide import label_form, similarity
+from tallyloom.operators.decide import alike, label_form, similarity
 
 
 def ocr_rows(boxes: DataFrame, near: float = 0.6) -> DataFrame:
@@ -122,9 +122,10 @@ def markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def similar_names(wanted: DataFrame, known: DataFrame, least: float = 0.65, n: int = 3) -> DataFrame:
-    """(wanted, known, ratio, rank) of file names alike: they meet by their pairs of characters, of which names so similar share one."""
-    pairs = lambda df, c: df.select(F.col(c).alias("file"), label_form(F.col(c)).alias("form")).distinct().filter("length(form) > 1").withColumn("two", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("form") - 1), lambda i: F.substring("form", i, F.lit(2))))))
-    a, b = pairs(wanted, "name").alias("a"), pairs(known, "name").alias("b")
-    met = a.join(b, F.col("a.two") == F.col("b.two")).select(F.col("a.file").alias("wanted"), F.col("b.file").alias("known"), F.col("a.form").alias("af"), F.col("b.form").alias("bf")).distinct()
-    ratio = met.select("wanted", "known", (similarity("af", "bf") / 0.8).alias("ratio")).filter(F.col("ratio") >= least)
-    return ratio.withColumn("rank", F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("ratio"), "known"))).filter(F.col("rank") <= n)
+    """(wanted, known, ratio, rank) of file names alike: they meet by the characters that the ratio needs in common, the rarest first."""
+    form = lambda df, side: df.select(F.col("name").alias(side), label_form(F.col("name")).alias(side[0] + "f")).distinct().filter(f"{side[0]}f != ''")
+    a, b = form(wanted, "wanted"), form(known, "known")
+    met = alike(a.select(F.col("wf").alias("lf")), b.select("kf"), least)
+    ratio = met.select(F.col("lf").alias("wf"), "kf", (similarity("lf", "kf") / 0.8).alias("ratio")).filter(F.col("ratio") >= least - 1e-9)
+    both = ratio.join(a, "wf").join(b, "kf").select("wanted", "known", "ratio")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("ratio"), "known"))).filter(F.col("rank") <= n)

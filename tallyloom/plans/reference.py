@@ -331,10 +331,24 @@ def audit_chain_tampered(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- matching and the decision plan
 
-# Synonyms of fields.
+# Synonyms of some fields of the test tables.
 SYNONYMS = {"联系电话": ("电话", "联系方式", "手机"), "开户行": ("开户银行", "开户行名称"), "账号": ("帐号", "银行账号", "账户", "收款账号"), "授信额度": ("额度", "授信金额"), "证件号码": ("证件号", "有效证件号码"), "合同金额": ("金额", "借款金额"), "注册地址": ("住所", "地址", "办公地址"), "法定代表人": ("法人", "法人代表")}
 
 
+_SYN = "(select unnest([" + ", ".join(f"'{k}'" for k, ws in SYNONYMS.items() for _ in ws) + "]) as a, unnest([" + ", ".join(f"'{w}'" for ws in SYNONYMS.values() for w in ws) + "]) as b)"
+
+
+@query(f"""with l as (select distinct field as label from fill_decision where field is not null), k as (select distinct key from fact where key is not null), s as {_SYN}, p as (select a, b from s union select b, a from s union select x.b, y.b from s x join s y using (a)),
+c as (select label, key, case when label = key then 1.0 when exists (select 1 from p where p.a = label and p.b = key) then 0.9 when contains(label, key) or contains(key, label) then 0.82 end as score from l, k),
+r as (select *, row_number() over (partition by label order by score desc, key) as rank, max(score) over (partition by label) as best from c where score is not null)
+select label, key, cast(score as double) as score, cast(rank as int) as rank, score = best and count(*) filter (score = best) over (partition by label) > 1 as tied from r qualify rank <= 4""")
+def label_candidates_by_rule(spark: SparkSession, d: str) -> DataFrame:
+    """As label_candidates, without likeness: equal, synonyms, one within the other. The fields are their own forms."""
+    syn = spark.createDataFrame([(k, w) for k, ws in SYNONYMS.items() for w in ws], "name string, word string")
+    scores = decide.scored(table(spark, d, "fill_decision", "field").select(F.col("field").alias("label")).distinct(), table(spark, d, "fact", "key").distinct(), syn, fuzzy=False)
+    return decide.best_candidates(scores).select("label", "key", "score", "rank", "tied")
+
+
 @query()
 def label_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Fields of fill decisions against keys of facts: the four best keys of each field."""
@@ -387,7 +401,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_file", "source_id", "path", "name", "sha256", "bytes", "batch_no").dropDuplicates(["source_id"])
 
 
-_CATEGORY = "case " + " ".join(f"when lower(regexp_extract(name, '(\\.[^./\\\\]+)$', 1)) in ({', '.join(repr(e) for e in ends.split())}) then '{c}'" for c, ends in files.CATEGORIES.items()) + f" else '{files.OTHER}' end"
+_CATEGORY = "case " + " ".join(f"when lower(regexp_extract(name, '(\\.[^./\\\\]+)$', 1)) in ({', '.join(repr(e) for e in ends)}) then '{c}'" for c, ends in files.CATEGORIES.items()) + f" else '{files.OTHER}' end"
 
 
 @query(f"""select {_CATEGORY} as category, count(*) as files, cast(sum(bytes) as bigint) as bytes from (select distinct source_id, name, bytes from source_file) group by 1""")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import fnmatch
 import glob
+import io
+import itertools
 import os
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,19 +69,17 @@ def read_table(spark: SparkSession, path: str, sheet: str | int = 0, header: int
         head = b"" if encoding and delimiter else _head(spark, path)
         encoding = encoding or sniff_encoding(head)
         name = "UTF-8" if encoding.startswith("utf-8") else "GB18030" if encoding in ("gbk", "gb18030") else {"latin-1": "ISO-8859-1", "big5": "Big5"}.get(encoding, encoding)
-        if name not in ("UTF-8", "ISO-8859-1"):
-            # Spark reads these encodings only with this setting, which has to stand until the rows are read
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         delimiter = delimiter or sniff_delimiter(head.decode(encoding, "replace"))
+        if name not in ("UTF-8", "ISO-8859-1"):
+            # encodings that Spark's own reader refuses by default
+            return _decoded(spark, path, encoding, delimiter)
         return spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').option("encoding", name).csv(path, sep=delimiter)
     if end in (".json", ".jsonl", ".ndjson"):
         return spark.read.option("multiLine", end == ".json").json(path)
     if end == ".parquet":
         return spark.read.parquet(path)
     if end == ".feather":
-        import pyarrow.feather
-
-        return spark.createDataFrame(pyarrow.feather.read_table(path))
+        return _feather(spark, path)
     if end in SHEETS:
         from tallyloom.sources.office import Workbook
 
@@ -87,6 +89,45 @@ def read_table(spark: SparkSession, path: str, sheet: str | int = 0, header: int
     raise ValueError(f"no reader for {end}")
 
 
+def _decoded(spark: SparkSession, path: str, encoding: str, delimiter: str) -> DataFrame:
+    """A delimited file in an encoding that Spark's reader doesn't have, decoded and taken apart in the task that reads it; columns of
+    which every value is a whole or a decimal number are numbers. The first row names the columns."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = csv.reader(io.StringIO(content.decode(encoding, "replace"), newline=""), delimiter=delimiter)
+                while part := list(itertools.islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([[x or None for x in r] for r in part], pa.list_(pa.string())), pa.array([len(r) for r in part], pa.int32())], ["cells", "width"])
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "cells array<string>, width int").withColumn("line", F.monotonically_increasing_id()).filter("width > 0")
+    first = lines.orderBy("line").first()
+    names = [x or f"_c{i}" for i, x in enumerate(first["cells"])] if first else []
+    rows = lines.filter(F.col("line") > first["line"]).select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]) if first else lines.select()
+    if not names:
+        return rows
+    counts = rows.agg(*[x for i, n in enumerate(names) for x in (F.count(f"`{n}`").alias(f"n{i}"), F.count(F.col(f"`{n}`").try_cast("bigint")).alias(f"i{i}"), F.count(F.when(F.col(f"`{n}`").rlike(r"^\s*[+-]?[\d.]+([eE][+-]?\d+)?\s*$"), F.col(f"`{n}`").try_cast("double"))).alias(f"d{i}"))]).first()
+    kind = lambda i: "bigint" if counts[f"n{i}"] and counts[f"i{i}"] == counts[f"n{i}"] else "double" if counts[f"n{i}"] and counts[f"d{i}"] == counts[f"n{i}"] else "string"
+    return rows.select(*[F.col(f"`{n}`").cast(kind(i)).alias(n) for i, n in enumerate(names)])
+
+
+def _feather(spark: SparkSession, path: str) -> DataFrame:
+    """A feather file: its columns' types are read from its end, its rows in the task that reads the file."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    with pa.memory_map(path) as f:
+        schema = pa.ipc.open_file(f).schema
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                file = pa.ipc.open_file(pa.BufferReader(content))
+                for i in range(file.num_record_batches):
+                    yield file.get_batch(i)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, from_arrow_schema(schema))
+
+
 def from_cells(cells: DataFrame, header: int = 0) -> DataFrame:
     """A table of cells (sheet, row, column, text) whose row `header` names the columns; columns without a name are numbered."""
     names = {r["column"]: r["text"] for r in cells.filter(F.col("row") == header).select("column", "text").collect()}

@@ -35,3 +35,6 @@ def test_markdown(spark):
 def test_similar_names(spark):
     a, b = spark.createDataFrame([("借款合同模板.docx",)], "name string"), spark.createDataFrame([("借款合同模板2.docx",), ("发票.pdf",)], "name string")
     assert [(r.known, r.rank) for r in layout.similar_names(a, b).collect()] == [("借款合同模板2.docx", 1)]
+    # no pair of characters in common
+    c, d = spark.createDataFrame([("abc",), ("x",), ("",)], "name string"), spark.createDataFrame([("axbxc",), ("x",), (None,)], "name string")
+    assert sorted((r.wanted, r.known) for r in layout.similar_names(c, d).collect()) == [("abc", "axbxc"), ("x", "x")]

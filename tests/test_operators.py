@@ -233,6 +233,16 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("名称;金额\n甲;1\n乙;2\n".encode("gb18030"))
     (tmp_path / "b.jsonl").write_text('{"名称": "丙", "金额": 3}\n', encoding="utf-8")
     (tmp_path / "skip.tmp").write_text("x")
+    (tmp_path / "big5").mkdir()
+    (tmp_path / "big5" / "c.csv").write_bytes('名稱,"a,b",n\n甲,1.5,\n\n"乙\n丙",2,7\n'.encode("big5"))
+    import pyarrow as pa
+    import pyarrow.feather
+
+    pyarrow.feather.write_feather(pa.table({"k": [1, 2], "t": ["x", None]}), str(tmp_path / "big5" / "d.feather"))
+    wide = readers.read_table(spark, str(tmp_path / "big5" / "c.csv"), encoding="big5")
+    assert wide.dtypes == [("名稱", "string"), ("a,b", "double"), ("n", "bigint")] and rows(wide) == [("乙\n丙", 2.0, 7), ("甲", 1.5, None)]
+    assert rows(readers.read_table(spark, str(tmp_path / "big5" / "d.feather"))) == [(1, "x"), (2, None)]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
     assert rows(readers.read_table(spark, str(tmp_path / "a.csv"))) == sorted([("甲", 1), ("乙", 2)], key=repr)
     assert readers.read_all(spark, f"{tmp_path};{tmp_path}/*.csv").count() == 3
     assert readers.sniff_encoding("ä".encode()) == "utf-8" and readers.sniff_encoding(b"\xef\xbb\xbfa") == "utf-8-sig" and readers.sniff_delimiter("a|b|c") == "|"
