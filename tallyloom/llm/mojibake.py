@@ -18,6 +18,8 @@ SAMPLE_DOCS, LONGEST_SAMPLE, SAMPLE_CHARS = 4_000, 20_000, 8_000_000
 DICTIONARY_BYTES, STEP_BYTES = 65_536, 2
 #: Decodings in a row that are undone at most.
 DEPTH = 3
+#: Tasks a core among which texts that may be garbled are spread.
+WAVES = 4
 LOST = "\ufffd"
 #: What the UTF-8 bytes of two lost characters look like when they are read as GBK.
 LOST_TWICE = "锟斤拷"
@@ -304,12 +306,20 @@ def garbled(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     that no chain makes shorter is left unchanged. `lost` says that a character is gone for good (U+FFFD stands in the
     text or comes out); `restored` is then the best that can be had.
 
-    Documents are read once for the sample and once for the search and never shuffled; the dictionaries are bounded.
+    Documents are read once for the sample and once for the search. Only texts that some wrong decoding can have made, or in
+    which characters are lost, go on, spread evenly over all cores, as one of them costs a thousand times what a clean one
+    does; the dictionaries are bounded.
     Edge cases: null and empty texts are not garbled; texts of any length are taken whole; equal documents are rows of
     their own; an empty table gives no rows; without clean documents plain compression decides.
     """
     shipped = documents.sparkSession.sparkContext.broadcast(fitted(documents.select("doc_id", "text", "lang"), sample_docs))
 
+    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [i for i, text in enumerate(batch.column(1).to_pylist()) if is_lost(text) or steps(text)]
+            if keep:
+                yield batch.take(pa.array(keep))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, chains, lost = [], [], [], []
@@ -323,4 +333,7 @@ def garbled(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts), pa.array(chains, pa.list_(pa.string())), pa.array(lost)], ["doc_id", "restored", "chain", "lost"])
 
-    return _documents(documents).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, restored string, chain array<string>, lost boolean")
+    found = _documents(documents).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(suspect, "doc_id bigint, text string")
+    # nearly all of the work is in these few texts, wherever they lie
+    spread = found.repartition(WAVES * documents.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(run, "doc_id bigint, restored string, chain array<string>, lost boolean")
