@@ -174,30 +174,42 @@ def merge_plan(stored: DataFrame, incoming: DataFrame, delivered: DataFrame | No
     return rows.select("key", "entity_id", "existing", "incoming", "kind", "high_risk", tick.alias("must_tick"))
 
 
-def for_subject(facts: DataFrame, roles: DataFrame, subject: int, scope: list[int]) -> DataFrame:
-    """(key, fact_id, value, ambiguous, candidates): facts of a subject and its scope.
+def for_subjects(facts: DataFrame, roles: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(own, fallback): facts of each subject's scope, and what stands where a scope has none.
+
+    roles: (entity_id, role), scopes: (subject, entity_id). A key that claims a role takes facts of the entities that hold it, any
+    other key those of the scope; a key that claims the legal representative while nobody holds that role takes the
+    holders of the company's role it names. own: (subject, key, fact_id, value, ambiguous, candidates), one fact being the
+    answer, several ambiguous. fallback: (key, fact_id, value, ambiguous, candidates), a row a key: the one fact of the
+    role's holders anywhere, else the one fact without an entity.
 
-    roles: (entity_id, role). A key that claims a role takes facts of the entities that hold it, those in scope before others; any
-    other key takes facts of the scope. One fact is the answer; none gives the one fact without an entity, if there is just one; else it is ambiguous.
+    One join with scopes for all subjects; groups are combined before the shuffle.
     """
-    inside = [*dict.fromkeys([*scope, subject])]
-    rows = live(facts).withColumn("claimed", claimed_role(F.col("key")))
+    # of a closed set of three
+    present = {r[0] for r in roles.filter(F.col("role").isin(*ROLES)).select("role").distinct().collect()}
+    claimed = claimed_role(F.col("key"))
+    if ROLES[0] not in present:
+        company = F.when(F.col("key").contains(ROLES[1]), ROLES[1]).when(F.col("key").contains(ROLES[2]), ROLES[2]).otherwise(ROLES[0])
+        claimed = F.when(claimed == ROLES[0], company).otherwise(claimed)
+    rows = live(facts).select("fact_id", "key", "entity_id", "value", claimed.alias("claimed"))
     held = roles.select(F.col("entity_id").alias("holder"), "role").distinct()
-    rows = rows.join(held, (F.col("entity_id") == F.col("holder")) & (F.col("claimed") == F.col("role")), "left")
-    in_scope, holds = F.col("entity_id").isin(*inside), F.col("holder").isNotNull()
-    per = rows.groupBy("key").agg(
-        F.count_if(F.col("claimed").isNotNull() & holds & in_scope).alias("both"), F.count_if(F.col("claimed").isNotNull() & holds).alias("role"),
-        F.count_if(F.col("claimed").isNull() & in_scope).alias("scope"), F.count_if(F.col("entity_id").isNull()).alias("global"),
-        F.max_by(F.struct("fact_id", "value"), F.when(F.col("claimed").isNotNull() & holds & in_scope, F.col("fact_id"))).alias("b_both"),
-        F.max_by(F.struct("fact_id", "value"), F.when(F.col("claimed").isNotNull() & holds, F.col("fact_id"))).alias("b_role"),
-        F.max_by(F.struct("fact_id", "value"), F.when(F.col("claimed").isNull() & in_scope, F.col("fact_id"))).alias("b_scope"),
-        F.max_by(F.struct("fact_id", "value"), F.when(F.col("entity_id").isNull(), F.col("fact_id"))).alias("b_global"),
-    )
-    n = F.when(F.col("both") > 0, F.col("both")).when(F.col("role") > 0, F.col("role")).otherwise(F.col("scope"))
-    best = F.when(F.col("both") > 0, F.col("b_both")).when(F.col("role") > 0, F.col("b_role")).otherwise(F.col("b_scope"))
-    pick = F.when(n == 1, best).when((n == 0) & (F.col("global") == 1), F.col("b_global"))
-    found = per.filter((n > 0) | (F.col("global") > 0))
-    return found.select("key", pick["fact_id"].alias("fact_id"), pick["value"].alias("value"), pick.isNull().alias("ambiguous"), F.when(n > 0, n).otherwise(F.col("global")).alias("candidates"))
+    rows = rows.join(held, (F.col("entity_id") == F.col("holder")) & (F.col("claimed") == F.col("role")), "left").withColumn("holds", F.col("holder").isNotNull())
+    answer = lambda n, best: (F.when(n == 1, best["fact_id"]).alias("fact_id"), F.when(n == 1, best["value"]).alias("value"), (n > 1).alias("ambiguous"), n.alias("candidates"))
+    fact = F.struct("fact_id", "value")
+    inside = rows.filter("claimed is null or holds").join(scopes.select("subject", "entity_id").distinct(), "entity_id")
+    own = inside.groupBy("subject", "key").agg(F.count(F.lit(1)).alias("n"), F.max_by(fact, "fact_id").alias("b")).select("subject", "key", *answer(F.col("n"), F.col("b")))
+    nobody = F.col("entity_id").isNull()
+    per = rows.groupBy("key").agg(F.count_if("holds").alias("role"), F.max_by(fact, F.when(F.col("holds"), F.col("fact_id"))).alias("b_role"), F.count_if(nobody).alias("none"), F.max_by(fact, F.when(nobody, F.col("fact_id"))).alias("b_none"))
+    some = per.select("key", F.when(F.col("role") > 0, F.col("role")).otherwise(F.col("none")).alias("n"), F.when(F.col("role") > 0, F.col("b_role")).otherwise(F.col("b_none")).alias("b")).filter("n > 0")
+    return own, some.select("key", *answer(F.col("n"), F.col("b")))
+
+
+def for_subject(facts: DataFrame, roles: DataFrame, subject: int, scope: list[int]) -> DataFrame:
+    """(key, fact_id, value, ambiguous, candidates): facts of one subject and its scope, with the fallback for keys that they lack; as for_subjects."""
+    inside = [(subject, e) for e in dict.fromkeys([*scope, subject])]
+    own, rest = for_subjects(facts, roles, facts.sparkSession.createDataFrame(inside, "subject bigint, entity_id bigint"))
+    own = own.drop("subject")
+    return own.unionByName(rest.join(own.select("key"), "key", "left_anti"))
 
 
 def uscc_ok(c: Column) -> Column:

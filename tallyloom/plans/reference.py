@@ -298,13 +298,31 @@ def facts_trace(spark: SparkSession, d: str) -> DataFrame:
     return facts.trace("借款用途", fact=f, decision=g)
 
 
-@query()
-def role_scoped_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of the entity with the least id and of those of its cases, roles by what entities' facts are about."""
+_CLAIM = "case when contains(key, '保证人') then '保证人' when contains(key, '借款人') then '借款人' when contains(key, '法定代表人') then '法定代表人' end"
+_ROLES = "select distinct entity_id, case when contains(key, '保证人') then '保证人' else '借款人' end as role from fact where entity_id is not null and (contains(key, '保证人') or contains(key, '借款人'))"
+_HELD = f"""with r as ({_ROLES}), f as (select distinct fact_id, key, entity_id, value, {_CLAIM} as claimed from fact where superseded_by is null),
+h as (select f.*, r.entity_id is not null as holds from f left join r on r.entity_id = f.entity_id and r.role = f.claimed)"""
+
+
+def _scoped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Facts of all entities with a case; an entity holds the company roles that its facts' keys name, nobody is a legal representative."""
     f = table(spark, d, "fact", "fact_id", "key", "entity_id", "value", "superseded_by")
-    roles = f.filter("entity_id is not null").select("entity_id", facts.claimed_role(F.col("key")).alias("role")).filter("role is not null").distinct()
-    subject = f.agg(F.min("entity_id")).first()[0] or 0
-    return facts.for_subject(f, roles, subject, [subject])
+    role = F.when(F.col("key").contains("保证人"), "保证人").when(F.col("key").contains("借款人"), "借款人")
+    roles = f.filter("entity_id is not null").select("entity_id", role.alias("role")).filter("role is not null").distinct()
+    scopes = table(spark, d, "credit_case", "entity_id").filter("entity_id is not null").distinct().select(F.col("entity_id").alias("subject"), "entity_id")
+    return facts.for_subjects(f, roles, scopes)
+
+
+@query(_HELD + """, s as (select distinct entity_id as subject from credit_case where entity_id is not null)
+select subject, key, case when count(*) = 1 then max(fact_id) end as fact_id, case when count(*) = 1 then max(value) end as value, count(*) > 1 as ambiguous, count(*) as candidates from h join s on s.subject = h.entity_id where claimed is null or holds group by 1, 2""")
+def role_scoped_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _scoped(spark, d)[0]
+
+
+@query(_HELD + """, c as (select key, count(*) filter (holds) as role, count(*) filter (entity_id is null) as none, max(fact_id) filter (holds) as a, max(fact_id) filter (entity_id is null) as b from h group by 1), n as (select key, case when role > 0 then role else none end as n, case when role > 0 then a else b end as m from c)
+select key, case when n = 1 then m end as fact_id, case when n = 1 then (select any_value(value) from f where fact_id = m) end as value, n > 1 as ambiguous, n as candidates from n where n > 0""")
+def role_fallback_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _scoped(spark, d)[1]
 
 
 # ---- audit

@@ -115,6 +115,12 @@ def test_by_key_and_subject(spark):
     roles = spark.createDataFrame([(2, "保证人")], "entity_id bigint, role string")
     got = {r.key: (r.value, r.ambiguous) for r in facts.for_subject(f, roles, 1, [1]).collect()}
     assert got == {"a": (None, True), "c": ("x", False), "保证人电话": ("p", False)}
+    # nobody is a legal representative: the key's company role counts
+    g = f.unionByName(spark.createDataFrame([(7, "b", "保证人法定代表人", 2, "r", None), (8, "b", "保证人法定代表人", 1, "s", None)], FACT))
+    assert {r.key: r.value for r in facts.for_subject(g, roles, 1, []).collect()}["保证人法定代表人"] == "r"
+    legal = roles.unionByName(spark.createDataFrame([(1, "法定代表人")], "entity_id bigint, role string"))
+    own, rest = facts.for_subjects(g, legal, spark.createDataFrame([(1, 1), (2, 2), (3, None)], "subject bigint, entity_id bigint"))
+    assert {(r.subject, r.key): r.value for r in own.collect() if r.key == "保证人法定代表人"} == {(1, "保证人法定代表人"): "s"} and {r.key: r.value for r in rest.collect()}["c"] == "z"
 
 
 def test_codes(spark):
