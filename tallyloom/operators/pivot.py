@@ -86,6 +86,17 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(where.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def histograms(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
+    """(column, bin from 1, rows) of several columns over equal widths of their joint range, so that they can be laid over each other; empty bins are left out."""
+    value = F.col("value")
+    edge = df.agg(F.least(*[F.min(c).cast("double") for c in columns], F.lit(float("inf"))).alias("lo"), F.greatest(*[F.max(c).cast("double") for c in columns], F.lit(float("-inf"))).alias("hi")).first()
+    if edge["lo"] > edge["hi"]:
+        return df.sparkSession.createDataFrame([], "column string, bin int, rows bigint")
+    width = (edge["hi"] - edge["lo"]) / bins or 1.0
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))).filter("value is not null")
+    return each.groupBy("column", F.least(F.floor((value - edge["lo"]) / width) + 1, F.lit(bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def box(df: DataFrame, by: str, column: str) -> DataFrame:
     """The five numbers of a box plot by group."""
     return df.groupBy(by).agg(F.min(column).alias("low"), *[F.percentile(column, q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.max(column).alias("high"))

@@ -110,6 +110,17 @@ def correlations(df: DataFrame, columns: list[str], least: float = 0.5, n: int =
     return _stacked(df, pairs).filter(F.abs("r") >= least).orderBy(F.desc(F.abs("r")), "a", "b").limit(n)
 
 
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) of every pair of columns in both orders and each with itself, for a heat map; one aggregation."""
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 3).alias("r")) for a in columns for b in columns]
+    return _stacked(df, pairs)
+
+
+def outlier_issues(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, issue, rows) of numeric columns with values beyond the quartile fences."""
+    return numbers(df, columns).filter("outliers > 0").select("column", F.lit("outliers").alias("issue"), F.col("outliers").alias("rows"))
+
+
 def header_row(cells: DataFrame) -> DataFrame:
     """The row of each sheet that is most likely its header: (sheet, row). cells: (sheet, row from 0, text).
 

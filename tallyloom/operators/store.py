@@ -211,6 +211,11 @@ def imported_rules(pack: DataFrame, templates: DataFrame, rules: DataFrame) -> t
     return fits.join(rules.select("name", "field").distinct(), ["name", "field"], "left_anti"), unknown
 
 
+def fingerprint(*columns: str) -> Column:
+    """The SHA-256 of a row as a JSON object with its keys in order and without blanks; a null is the empty text, so that it has a place."""
+    return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(columns)])), 256)
+
+
 def fitted_value(value: Column, printed: Column) -> Column:
     """A value without what is printed around its blank already: a unit that the form has behind it. A foreign currency before 元 gives null."""
     foreign = value.rlike("(?i)USD|EUR|HKD|JPY|GBP|美元|欧元|港币|日元|英镑")

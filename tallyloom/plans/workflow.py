@@ -399,6 +399,30 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
     return profile.correlations(table(spark, d, "credit_case", *columns), columns)
 
 
+_C = ("credit_amount", "credit_exposure_amount", "case_id")
+
+
+@query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 3) as r from credit_case" for a in _C for b in _C))
+def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return profile.correlation_matrix(table(spark, d, "credit_case", *_C), list(_C))
+
+
+@query("""with e as (select least(min(credit_amount), min(credit_exposure_amount)) as lo, greatest(max(credit_amount), max(credit_exposure_amount)) as hi from credit_case), v as (select 'credit_amount' as "column", credit_amount as x from credit_case union all select 'credit_exposure_amount', credit_exposure_amount from credit_case)
+select "column", cast(least(floor((x - lo) / ((hi - lo) / 20)) + 1, 20) as int) as bin, count(*) as "rows" from v, e where x is not null group by 1, 2""")
+def chart_hists(spark: SparkSession, d: str) -> DataFrame:
+    return pivot.histograms(table(spark, d, "credit_case", "credit_amount", "credit_exposure_amount"), ["credit_amount", "credit_exposure_amount"])
+
+
+@query("""with q as (select quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events) select 'value' as "column", 'outliers' as issue, count(*) as "rows" from events, q where value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a)""")
+def outlier_issues(spark: SparkSession, d: str) -> DataFrame:
+    return profile.outlier_issues(table(spark, d, "events", "value"), ["value"])
+
+
+@query("""select distinct o_orderkey, sha256('{"o_custkey":"' || o_custkey || '","o_orderkey":"' || o_orderkey || '","o_orderstatus":"' || coalesce(o_orderstatus, '') || '"}') as fingerprint from orders""")
+def rows_fingerprinted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_custkey").select("o_orderkey", store.fingerprint("o_orderkey", "o_orderstatus", "o_custkey").alias("fingerprint")).distinct()
+
+
 _F = "(select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events)"
 
 

@@ -43,7 +43,3 @@ def cut(df, **seen):
     watch = Observation()
     done = df.observe(watch, *[c.alias(name) for name, c in seen.items()]).checkpoint(eager=True)
     return done, watch.get
-
-
-def release(spark: SparkSession) -> None:
-    """Kept for callers of before: finished steps are let go of by Spark's own cleaner."""

@@ -163,6 +163,18 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         raise ValueError(f"no writer for {end}")
 
 
+def convert(spark: SparkSession, pattern: str, folder: str, end: str, mode: str = "errorifexists", **options) -> list[str]:
+    """Every file of a pattern written into a folder with another suffix; the paths written. Names that two files share are numbered."""
+    out, taken = [], {}
+    for f in resolve(pattern):
+        stem = os.path.splitext(os.path.basename(f))[0]
+        taken[stem] = taken.get(stem, 0) + 1
+        path = os.path.join(folder, f"{stem}{'' if taken[stem] == 1 else f'_{taken[stem] - 1}'}.{end.lstrip('.')}")
+        write_table(read_table(spark, f, **options), path, mode)
+        out.append(path)
+    return out
+
+
 def markdown(df: DataFrame, rows: int = MARKDOWN_ROWS) -> str:
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *map(line, df.limit(rows).collect())]) + "\n"

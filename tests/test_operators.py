@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zipfile
 from datetime import date, datetime
@@ -123,6 +124,14 @@ def test_by_key_and_subject(spark):
     assert {(r.subject, r.key): r.value for r in own.collect() if r.key == "保证人法定代表人"} == {(1, "保证人法定代表人"): "s"} and {r.key: r.value for r in rest.collect()}["c"] == "z"
 
 
+def test_joint_histograms_and_matrix(spark):
+    from tallyloom.operators import pivot
+
+    df = spark.createDataFrame([(0.0, 10.0), (10.0, None), (5.0, 20.0)], "a double, b double")
+    assert rows(pivot.histograms(df, ["a", "b"], 2)) == [("a", 1, 2), ("a", 2, 1), ("b", 2, 2)]
+    assert rows(pivot.histograms(df.limit(0), ["a", "b"])) == [] and profile.correlation_matrix(df, ["a", "b"]).filter("a = b and r = 1").count() == 2
+
+
 def test_codes(spark):
     good = next(("9135010" + "0M000100Y4" + c for c in facts.USCC_ALPHABET if spark.createDataFrame([("9135010" + "0M000100Y4" + c,)], "u string").select(facts.uscc_ok(F.col("u"))).first()[0]), None)
     assert good is not None
@@ -256,6 +265,8 @@ def test_readers(spark, tmp_path):
     readers.write_table(df, str(tmp_path / "o.tsv"))
     readers.write_table(df, str(tmp_path / "o.md"))
     assert (tmp_path / "o.md").read_text(encoding="utf-8") == "| a | b |\n| --- | --- |\n| 1 | x\\|y |\n"
+    done = readers.convert(spark, f"{tmp_path / 'a.csv'};{tmp_path / 'b.jsonl'}", str(tmp_path / "out"), "parquet")
+    assert [os.path.basename(p) for p in done] == ["a.parquet", "b.parquet"] and rows(spark.read.parquet(done[0])) == rows(readers.read_table(spark, str(tmp_path / "a.csv")))
     with pytest.raises(ValueError):
         readers.read_table(spark, "x.pdf")
 
