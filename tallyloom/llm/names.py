@@ -113,7 +113,7 @@ class Namer:
             return min(OWN, len(body))
         own = len(body) - best[1]
         # a character typed twice where the trade begins
-        return own - 1 if own > 2 and body[own - 1] == body[own] else own
+        return own - 1 if own > OWN and body[own - 1] == body[own] else own
 
     def parts(self, p: tuple[bool, str, str, str, str], latin_trade: str) -> tuple[str, str]:
         """(own, trade): how a parsed name's own part sounds and the rest of it. A person's whole name is turned so that its least

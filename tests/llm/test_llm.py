@@ -370,16 +370,29 @@ def test_marginals_prefer_one_to_one(spark):
 
 @pytest.mark.parametrize("hot", [1_000, 0])
 def test_candidates_of_hot_tokens(spark, hot):
-    left = spark.createDataFrame([(1, "b", "x"), (1, "p", "1"), (2, "b", "x"), (3, "c", "7"), (3, "c", "8")], "record_id bigint, kind string, token string")
-    right = spark.createDataFrame([(10, "b", "x"), (10, "p", "1"), (11, "b", "x"), (12, "c", "7"), (12, "c", "8"), (13, "c", "7")], "subject bigint, kind string, token string")
+    left = spark.createDataFrame([(1, "b", "x"), (1, "p", "1"), (2, "b", "x"), (3, "c", "7"), (3, "p", "8")], "record_id bigint, kind string, token string")
+    right = spark.createDataFrame([(10, "b", "x"), (10, "p", "1"), (11, "b", "x"), (12, "c", "7"), (12, "p", "8"), (13, "c", "7")], "subject bigint, kind string, token string")
     name = lambda i, city, trade: (i, False, city, "", trade)
     kind = "person boolean, city string, branch string, trade string"
     records = spark.createDataFrame([name(1, "A", "甲乙"), name(2, "B", "甲乙"), name(3, "A", "丙丁")], f"record_id bigint, {kind}")
     subjects = spark.createDataFrame([name(10, "C", "甲乙"), name(11, "", "甲"), name(12, "D", "戊"), name(13, "E", "丙丁")], f"subject bigint, {kind}")
     got = [(r.record_id, r.subject, r.kinds) for r in entities.candidates(left, right, records, subjects, hot).orderBy("record_id", "subject").collect()]
-    every = [(1, 10, ["b", "p"]), (1, 11, ["b"]), (2, 10, ["b"]), (2, 11, ["b"]), (3, 12, ["c"]), (3, 13, ["c"])]
-    # a hot token needs a second one (also of its kind) or a compatible name
-    assert got == (every if hot else [(1, 10, ["b", "p"]), (1, 11, ["b"]), (2, 11, ["b"]), (3, 12, ["c"])])
+    every = [(1, 10, ["b", "p"]), (1, 11, ["b"]), (2, 10, ["b"]), (2, 11, ["b"]), (3, 12, ["c", "p"]), (3, 13, ["c"])]
+    # a hot token needs a second one of another kind or a compatible name
+    assert got == (every if hot else [(1, 10, ["b", "p"]), (1, 11, ["b"]), (2, 11, ["b"]), (3, 12, ["c", "p"])])
+
+
+def test_the_rest_of_a_number_goes_before_its_beginning(spark):
+    many = range(10, 15)
+    left = spark.createDataFrame([(1, "c", "N29900"), (1, "c", "77X88Y"), (2, "c", "N29900"), (2, "c", "nobody")], "record_id bigint, kind string, token string")
+    right = spark.createDataFrame([(i, "c", "N29900") for i in many] + [(12, "c", "77X88Y")], "subject bigint, kind string, token string")
+    kind = "person boolean, city string, branch string, trade string"
+    records = spark.createDataFrame([(i, False, "A", "", "甲乙") for i in (1, 2)], f"record_id bigint, {kind}")
+    subjects = spark.createDataFrame([(i, False, "A" if i < 13 else "B", "", "甲乙") for i in many], f"subject bigint, {kind}")
+    got = sorted((r.record_id, r.subject) for r in entities.candidates(left, right, records, subjects, 3).collect())
+    assert got == [(1, 12), (2, 10), (2, 11), (2, 12)]
+    runs = spark.createDataFrame([("ＮX12 345678*9",), (None,)], "t string").select(entities.runs_of(F.col("t"), 9).alias("r")).collect()
+    assert [r.r for r in runs] == [["NX1234567", "X12345678"], None]
 
 
 def test_matched_across_sources(spark):
