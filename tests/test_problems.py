@@ -171,6 +171,17 @@ def test_a_source_that_changes_its_unit(spark):
     assert all(got[100 + i] == ((100 + i) * 1_000_000, "inferred", int(i >= 20)) for i in range(40))
 
 
+@pytest.mark.parametrize("limit", [1, 3, 30])
+def test_units_do_not_depend_on_the_size_of_a_history(spark, limit):
+    # source 9 tells its unit in one row and then writes bare numbers for days; the entities state nothing
+    told = [(i, None, i, "f", "money", f"{100 + i}万元", None, date(2020, 1, 1)) for i in range(8)]
+    bare = [(100 + i, 9, i % 8, "f", "money", str((100 + i % 8) * (10_000 if 16 <= i < 40 else 1)), "万元" if i == 0 else None, date(2020, 2, 1) + timedelta(i)) for i in range(64)]
+    df = spark.createDataFrame(told + bare, "row_id bigint, source_id bigint, entity_id bigint, field string, kind string, value string, unit string, at date")
+    whole = rows(units.to_common_units(df))
+    assert rows(units.to_common_units(df, limit)) == whole
+    assert {r[3] for r in whole if r[0] >= 100} == {0, 1, 2} and all(r[1] == (100 + (r[0] - 100) % 8) * 1_000_000 for r in whole if r[0] >= 100)
+
+
 def test_segments_of_long_histories_take_little_time():
     began = time.time()
     assert units.segments([7.0] * 100_000) == [0]
