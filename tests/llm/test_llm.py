@@ -418,3 +418,25 @@ def test_a_hot_name_reaches_its_compatible_subject(spark):
     ledger = spark.createDataFrame([(100, "甲", f"澜城芳妍牧{trade(7)}有限公司", "尾号" + key(7)[-5:])], "record_id bigint, ledger_name string, subject_name string, cert_text string")
     ledger = ledger.selectExpr("*", "cast(null as string) phone_text", "cast(null as string) address_text", "cast(null as string) rep_name")
     assert rows(entities.matched(ledger, n, e, p).select("entity_id", "record_id")) == [(7, 100)]
+
+
+@pytest.mark.parametrize("hot", [0, 2, 6])
+def test_matches_do_not_depend_on_what_is_hot(spark, hot):
+    rnd = random.Random(11)
+    key = lambda i: f"N2990{i % 3}{i * 7919 % 100_000:05d}{i:06d}"
+    own = lambda i: "".join(chr(0x5200 + 37 * (i * k % 40)) for k in (1, 3, 7))
+    city, trade = ("澜城", "砚山", ""), ("仓储物流", "贸易", "粮油贸易")
+    many = range(1, 41)
+    n = spark.createDataFrame([(i, i, f"{city[i % 3]}{own(i // 2)}{trade[i % 2]}有限公司") for i in many], "name_id bigint, entity_id bigint, name string")
+    e = spark.createDataFrame([(i, key(i), False) for i in many], "entity_id bigint, key string, person boolean")
+    told = lambda i: [(i, "联系电话", f"1200000000{i % 5}"), (i, "注册地址", f"澜城市青芦大道{i % 4}号"), (i, "法定代表人", "吴恒" + "一二三四五六七"[i % 7])]
+    p = spark.createDataFrame([r for i in many for r in told(i)], "entity_id bigint, field string, value string")
+    records = []
+    for i in many:
+        j, k = rnd.choice(many), rnd.choice(many)
+        cert = rnd.choice([None, key(i), "尾号" + key(i)[-6:], key(i)[:6] + "******" + key(i)[-4:], key(i)[:9] + "XY" + key(i)[11:]])
+        records.append((100 + i, "甲乙"[i % 2], f"{city[j % 3]}{own(i // 2)}{trade[k % 3]}有限公司", cert, rnd.choice([None, f"1200000000{i % 5}", f"120****000{i % 5}"]), rnd.choice([None, f"澜城市青芦大道{j % 4}号"]), rnd.choice([None, "吴恒" + "一二三四五六七"[k % 7]])))
+    ledger = spark.createDataFrame(records, "record_id bigint, ledger_name string, subject_name string, cert_text string, phone_text string, address_text string, rep_name string")
+    of = lambda hot: {(r.entity_id, r.record_id): r.confidence for r in entities.matched(ledger, n, e, p, 0.0, hot).collect()}
+    whole, got = of(10**9), of(hot)
+    assert len(whole) > 100 and got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-6 for k in whole)
